@@ -95,22 +95,22 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     rows = work.save(parse(conversations), "parsed")
     said = rows.where("turn is not null").select("conv_id", "turn", F.explode("said").alias("h")).groupBy("conv_id", "h").agg(F.min("turn").alias("first"))
     quoted = rows.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").groupBy("conv_id", "turn", "h").agg(F.min("level").alias("level"), F.max("words").alias("words"))
-    linked = work.save(quoted.join(said, ["conv_id", "h"]).where("first < turn"), "linked")
+    linked = work.save(quoted.join(said, ["conv_id", "h"]).where("first < turn"), "linked", narrow=True)
     best = linked.groupBy("conv_id", "turn", "level", "first").agg(F.sum("words").alias("w"))
     best = best.groupBy("conv_id", "turn").agg(F.min(F.struct("level", -F.col("w"), -F.col("first"), "first")).alias("b")).select("conv_id", "turn", F.col("b.first").alias("reply_to"))
     counts = linked.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"))
-    chain = work.save(best.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).alias("depth")), "chain")
+    chain = work.save(best.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).alias("depth")), "chain", narrow=True)
     while True:  # each round doubles the length of the steps
         step = chain.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("upper"), F.col("depth").alias("more"))
         new = chain.join(step, ["conv_id", "up"], "left")
-        new = work.save(new.select("conv_id", "turn", F.coalesce("upper", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("upper").isNotNull().alias("moved")), "chain")
+        new = work.save(new.select("conv_id", "turn", F.coalesce("upper", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("upper").isNotNull().alias("moved")), "chain", narrow=True)
         more = new.where("moved").limit(1).count()
         work.drop(chain)
         chain = new.drop("moved")
         chain._saved_at = new._saved_at
         if not more:
             break
-    links = work.save(best.join(counts, ["conv_id", "turn"]).join(chain.select("conv_id", "turn", F.col("up").alias("thread"), "depth"), ["conv_id", "turn"]), "links")
+    links = work.save(best.join(counts, ["conv_id", "turn"]).join(chain.select("conv_id", "turn", F.col("up").alias("thread"), "depth"), ["conv_id", "turn"]), "links", narrow=True)
     role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise(F.lit("user"))
     out = rows.join(links, ["conv_id", "turn"], "left")
     return out.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -36,8 +37,12 @@ class Workspace:
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
         atexit.register(self.close)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+        """narrow: a table of few bytes a row; it gets a few files a core at most, however many tasks a shuffle has."""
         self.n += 1
+        if narrow:
+            conf = self.spark.conf
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions")) // 16))
         to = f"{self.path}/{self.n:03d}-{name}"
         df.write.parquet(to)
         out = self.spark.read.schema(df.schema).parquet(to)
@@ -48,6 +53,11 @@ class Workspace:
         for t in tables:
             delete(self.spark, t._saved_at)
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of steps that nothing refers to any more; else they stay until the driver is short of memory."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         try:
             delete(self.spark, self.path)
@@ -86,8 +96,8 @@ def components(work: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataF
     rounds grow with the logarithm of the longest chain. Labels are saved each round; only a count comes to the driver.
     Groupings have a partial step, so a node with very many edges meets no single task.
     """
-    both = work.save(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = work.save(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
+    both = work.save(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", narrow=True)
+    labels = work.save(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")), "labels", narrow=True)
     for _ in range(max_rounds):
         near = (
             both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("r")), "v")
@@ -98,7 +108,7 @@ def components(work: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataF
         )
         jump = labels.select(F.col("node").alias("r"), F.col("root").alias("rr"))
         new = near.join(jump, "r", "left").select("node", F.least("r", F.coalesce("rr", "r")).alias("root"))
-        new = work.save(new, "labels")
+        new = work.save(new, "labels", narrow=True)
         changed = new.join(labels.select("node", F.col("root").alias("old")), "node").where("root != old").limit(1).count()
         work.drop(labels)
         labels = new

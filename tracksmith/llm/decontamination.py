@@ -94,13 +94,13 @@ def item_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     """
     work = Workspace(docs.sparkSession, "decontamination")
     body = F.col(text).cast("string")
-    windows = work.save(item_windows(benchmark, item_id, item_text, span, k), "windows")
+    windows = work.save(item_windows(benchmark, item_id, item_text, span, k), "windows", narrow=True)
     spans = sorted(r[0] for r in windows.select(F.size("w")).distinct().collect())  # span lengths at most
     base = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), body).alias("key"), F.size(words_of(body)).cast("long").alias("n_words"))
     nothing = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
     if not spans:
         return base.withColumns(nothing).withColumn("contaminated", F.lit(False)).drop("key")
-    prints = work.save(window_prints(windows.select("w").distinct(), spans, k).withColumn("wid", F.xxhash64(F.concat_ws(" ", "w"))), "prints")
+    prints = work.save(window_prints(windows.select("w").distinct(), spans, k).withColumn("wid", F.xxhash64(F.concat_ws(" ", "w"))), "prints", narrow=True)
 
     def with_all_grams(df: DataFrame) -> DataFrame:
         df = df.withColumn("words", words_of(F.col("body")))
@@ -113,22 +113,23 @@ def item_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     for s in spans:
         g = gram_length(s, k)
         rows = with_minima(rows, f"g{g}", s - g + 1, f"f{s}")
-    kept = rows.select("key", F.explode(F.array_distinct(F.concat(*[f"f{s}" for s in spans]))).alias("print"))
+    # Outer explosions: the optimiser puts a filter below the others, which would work out the arrays twice.
+    kept = rows.select("key", F.explode_outer(F.array_distinct(F.concat(*[f"f{s}" for s in spans]))).alias("print"))
     wanted = prints.select("print").distinct()
     shared = kept.join(small(wanted), "print").groupBy("key").agg(F.collect_set("print").alias("prints"))
-    shared = work.save(shared, "shared")
+    shared = work.save(shared, "shared", narrow=True)
 
     # The places of these grams, extended to windows.
     rows = docs.select(row_key(F.col(doc_id), body).alias("key"), body.alias("body")).where("body is not null")
     rows = with_all_grams(rows.join(small(shared), "key"))
     places = F.concat(*[F.filter(F.transform(f"g{g}", lambda h, i: F.struct(h.alias("print"), i.alias("p"))), lambda x: F.array_contains("prints", x["print"])) for g in sorted({gram_length(s, k) for s in spans})])
-    rows = rows.withColumn("place", F.explode(places)).withColumn("from", F.greatest(F.col("place.p") - (span - 1), F.lit(0)))
+    rows = rows.withColumn("place", F.explode_outer(places)).withColumn("from", F.greatest(F.col("place.p") - (span - 1), F.lit(0)))
     rows = rows.select("key", F.col("place.print").alias("print"), F.col("place.p").alias("p"), "from", F.slice("words", F.col("from") + 1, F.lit(2 * span)).alias("near"))
     start = F.col("p") - F.col("off")
     same = F.when((start >= F.col("from")) & (start >= 0), F.slice("near", F.greatest(start - F.col("from") + 1, F.lit(1)), F.col("span")) == F.col("w")).otherwise(False)
     right = small(prints.withColumnRenamed("print", "print_r"))
     hits = rows.join(right, (F.col("print") == F.col("print_r")) & same).select("key", start.alias("s"), (start + F.col("span")).alias("e"), "wid")
-    hits = work.save(hits, "hits")
+    hits = work.save(hits, "hits", narrow=True)
 
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("s", "e"))),

@@ -141,7 +141,7 @@ def fuse(work: Workspace, told: DataFrame, languages: list[str]) -> DataFrame:
 
     def sums(by: str, name: str) -> DataFrame:
         each = told.where(F.col(by).isNotNull()).groupBy(by).agg(*[F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(n)])
-        return work.save(each.select(by, F.array(*[f"s{k}" for k in range(n)]).alias(name)), name)
+        return work.save(each.select(by, F.array(*[f"s{k}" for k in range(n)]).alias(name)), name, narrow=True)
 
     whole = told.agg(*[F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(n)]).first()
     total = [float(x or 0) for x in whole]

@@ -44,15 +44,15 @@ def thresholds(work: Workspace, narrow: DataFrame, weights: Sequence[float], sha
     totals = narrow.groupBy("src").agg(F.sum("size").alias("source_size"))
     plan = source_targets(totals, weights, share, max_repeat)
     plan = plan.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
-    plan = work.save(plan.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "plan")
-    state = work.save(plan.select("src", F.col("rest"), F.lit(0).cast("long").alias("prefix")), "state")
+    plan = work.save(plan.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "plan", narrow=True)
+    state = work.save(plan.select("src", F.col("rest"), F.lit(0).cast("long").alias("prefix")), "state", narrow=True)
     shift = HASH_BITS
     while True:
         fine = max(0, shift - bits)
         of = narrow.join(small(state), "src").where((F.shiftrightunsigned("h", shift) if shift < HASH_BITS else F.lit(0).cast("long")) == F.col("prefix"))
         parts = of.groupBy("src", F.shiftrightunsigned("h", fine).alias("b")).agg(F.sum("size").alias("w"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.first("rest").alias("rest"))
         parts = parts.withColumn("cum", F.sum("w").over(Window.partitionBy("src").orderBy("b"))).where("cum > rest and cum - w <= rest")
-        new = work.save(parts.select("src", (F.col("rest") - F.col("cum") + F.col("w")).alias("rest"), F.col("b").alias("prefix"), "w", "lo", "hi"), "state")
+        new = work.save(parts.select("src", (F.col("rest") - F.col("cum") + F.col("w")).alias("rest"), F.col("b").alias("prefix"), "w", "lo", "hi"), "state", narrow=True)
         shift = fine
         if shift == 0 or not new.where("lo != hi").limit(1).count():
             break
@@ -60,7 +60,7 @@ def thresholds(work: Workspace, narrow: DataFrame, weights: Sequence[float], sha
         state = new
     # The last bucket has one hash: its rows go in if the sum comes nearer to the target with them.
     cut = new.select("src", F.when(F.col("w") - F.col("rest") < F.col("rest"), F.col("lo") + 1).otherwise(F.col("lo")).alias("cut"))
-    return work.save(plan.join(cut, "src", "left").select("src", "source_size", "target", "copies", F.coalesce("cut", F.lit(0)).alias("cut")), "thresholds")
+    return work.save(plan.join(cut, "src", "left").select("src", "source_size", "target", "copies", F.coalesce("cut", F.lit(0)).alias("cut")), "thresholds", narrow=True)
 
 
 def mix_to_targets(

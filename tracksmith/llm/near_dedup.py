@@ -188,7 +188,7 @@ def confirmed_links(work: Workspace, docs: DataFrame, doc_id: str, text: str, me
     """members (set_key, root, first_id, n) to (u, v): a spanning forest of the set_keys whose sets are similar enough."""
     sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    members = work.save(members.join(sizes.select("root", blocks.alias("blocks")), "root"), "members")
+    members = work.save(members.join(sizes.select("root", blocks.alias("blocks")), "root"), "members", narrow=True)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     found = rows.join(small(members), F.col("id").eqNullSafe(F.col("first_id"))).select("root", "blocks", "set_key", "text")
 
@@ -252,15 +252,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = work.save(
         rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes"
     )
-    links = work.save(candidate_links(work, classes, need, similarity, coordinates), "candidates")
+    links = work.save(candidate_links(work, classes, need, similarity, coordinates), "candidates", narrow=True)
     families = components(work, links)
     members = families.join(classes.select("set_key", "node", "first_id", "n"), "node").select("set_key", "root", "first_id", "n")
-    confirmed = work.save(confirmed_links(work, docs, doc_id, text, members, shingle, exact), "links")
+    confirmed = work.save(confirmed_links(work, docs, doc_id, text, members, shingle, exact), "links", narrow=True)
     final = components(work, confirmed)
     named = classes.select("set_key", "first_id").join(final.select(F.col("node").alias("set_key"), "root"), "set_key", "left")
-    named = work.save(named.select("set_key", "first_id", F.coalesce("root", "set_key").alias("root")), "named")
+    named = work.save(named.select("set_key", "first_id", F.coalesce("root", "set_key").alias("root")), "named", narrow=True)
     joint = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = work.save(named.join(joint, "root").select("set_key", "component_id"), "ids")
+    ids = work.save(named.join(joint, "root").select("set_key", "component_id"), "ids", narrow=True)
     out = rows.select("doc_id", "set_key", "n").join(ids, "set_key", "left")
     comp = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"))

@@ -76,7 +76,7 @@ def scan_versions(versions: DataFrame, *, body: str = "text", ledger: DataFrame
     unseen = unseen.groupBy("blob").agg(F.first("body").alias("body"))
     # A blob without findings has a row too: it was seen.
     scanned = unseen.select("blob", "body")
-    hits = work.save(scan_blobs(scanned, rules, version), "hits")
+    hits = work.save(scan_blobs(scanned, rules, version), "hits", narrow=True)
     seen = versions.select(blob_of(text).alias("blob"))
     if ledger is not None:
         seen = seen.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
