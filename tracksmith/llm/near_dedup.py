@@ -30,7 +30,7 @@ from .shingles import shingle_hashes
 
 COORDINATES, MISS = 40, 1e-7
 #: A group holds two blocks at most, each of about so many members and so many shingles.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 192, 500_000
 
 
 @cache
