@@ -171,13 +171,17 @@ def fit(work: Workspace, docs: DataFrame, labels: DataFrame, *, doc_id: str = "d
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = np.array([pooled(t.as_py(), vectors, memo) for t in batch.column(1)], np.float32).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], names=["y", "x"])
 
     got = train.mapInArrow(features, "y double, x array<float>").toArrow()
+    if not got.num_rows:
+        return vectors, 0.5
     x, y = np.array(got["x"].to_pylist(), np.float32).reshape(got.num_rows, -1), got["y"].to_numpy()
-    if len(x) == 0 or y.min() == y.max():
-        return vectors, float(y.mean()) if len(y) else 0.5
+    if y.min() == y.max():
+        return vectors, float(y.mean())
     order = np.lexsort(np.vstack([x.T[:4], y]))  # the fit doesn't depend on the order of rows
     return vectors, Network(x[order].astype(np.float64), y[order])
 
