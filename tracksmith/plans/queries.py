@@ -5,13 +5,14 @@ The tables hold no tracks, so events stand in: a user is a trip, (ts, event_id)
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import features, spatial, trips
+from ..operators import clusters, costs, features, graph, mapmatch, routes, smoothing, spatial, tables, trips
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -267,7 +268,21 @@ def limit_trips(spark, sf_dir):
 _LINE = [(0.0, 0.0), (100.0, 300.0), (300.0, 300.0), (400.0, 900.0)]
 
 
-@query()
+def _line_sql() -> str:
+    """The nearest place on _LINE, piece by piece: the least distance, the first piece among equals."""
+    parts, done = [], 0.0
+    for k, ((ax, ay), (bx, by)) in enumerate(zip(_LINE, _LINE[1:], strict=False)):
+        dx, dy = bx - ax, by - ay
+        t = f"least(greatest(((x - {ax}) * {dx} + (y - {ay}) * {dy}) / {dx * dx + dy * dy}, 0.0), 1.0)"
+        size = math.hypot(dx, dy)
+        parts.append(f"SELECT event_id, {k} AS k, sqrt(pow({ax} + {t} * {dx} - x, 2) + pow({ay} + {t} * {dy} - y, 2)) AS d, {done!r} + {t} * {size!r} AS m FROM p")
+        done += size
+    return ("WITH p AS (SELECT event_id, value AS x, CAST(event_id % 1000 AS DOUBLE) AS y FROM events), s AS (" + " UNION ALL ".join(parts)
+            + "), b AS (SELECT event_id, arg_min(d, (d, k)) AS d, arg_min(m, (d, k)) AS m FROM s GROUP BY event_id)"
+            " SELECT event_id, round(d, 4) AS distance, round(m, 4) AS measure, round(d, 4) AS back FROM b")
+
+
+@query(_line_sql())
 def linear_reference(spark, sf_dir):
     line = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in _LINE])
     t = tracks(spark, sf_dir).withColumn("near", g.nearest_on_line(line, F.col("x"), F.col("y")))
@@ -291,10 +306,90 @@ def valid_circulation(spark, sf_dir):
     return o.select("o_orderkey", g.circulation_ok(sens, ordered).alias("valid"), g.wrong_way(sens, ordered).alias("wrong"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS u, (n_nationkey + 1) % 25 AS v FROM nation UNION SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation),
+ r(node, hops) AS (SELECT 0, 0 UNION SELECT e.v, r.hops + 1 FROM r JOIN e ON r.node = e.u WHERE r.hops < 25)
+SELECT node, min(hops) AS hops FROM r GROUP BY node""")
+def adjacency_paths(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("u"))
+    edges = n.select("u", ((F.col("u") + 1) % 25).alias("v")).union(n.select("u", ((F.col("u") + 7) % 25).alias("v")))
+    return graph.hops(edges, n.where("u = 0").select(F.col("u").alias("node")), tables.saver(spark, "hops"))
+
+
 @query()
-def kalman_smooth(spark, sf_dir):
-    from ..operators import smoothing
+def snap_nodes(spark, sf_dir):
+    """Lines between the positions of a user's events, 100 m to a unit, as streets."""
+    t = trips.pairwise(tracks(spark, sf_dir), "user_id", ["ts", "event_id"], "x", "y")
+    ends = F.array(*[F.struct((F.col(x) * 100).alias("x"), (F.col(y) * 100).alias("y")) for x, y in (("x", "y"), ("next_x", "next_y"))])
+    lines = t.select(F.lit(0).alias("layer"), F.col("event_id").alias("seq"), F.lit(0).alias("part"), ends.alias("coords"))
+    _, edges = graph.build_graph(graph.union_layers(lines), tables.saver(spark, "snap"))
+    return edges.select(F.col("seq").alias("event_id"), "u", "v", "k", "ord", F.round("length", 4).alias("length"))
+
+
+def _town(spark, n: int = 8, size: float = 200.0) -> DataFrame:
+    """A square grid of streets, classes in turn."""
+    at = spark.range(n * n).select(F.floor(F.col("id") / n).alias("i"), (F.col("id") % n).alias("j"), F.explode(F.array(F.lit(0), F.lit(1))).alias("across"))
+    i2, j2 = F.col("i") + 1 - F.col("across"), F.col("j") + F.col("across")
+    point = lambda i, j: F.struct((j * size).alias("x"), (i * size).alias("y"))
+    return at.where((i2 < n) & (j2 < n)).select(
+        (F.col("i") * n + F.col("j")).alias("u"), (i2 * n + j2).alias("v"), F.lit(0).alias("k"), ((F.col("i") + 2 * F.col("j") + F.col("across")) % 18).cast("int").alias("type"),
+        F.lit(0).alias("sens"), F.lit(True).alias("ord"), F.array(point(F.col("i"), F.col("j")), point(i2, j2)).alias("coords"),
+    )
+
+
+def _rides(spark, sf_dir, samples: int, still: int = 0) -> DataFrame:
+    """Points of a ride a supplier: east along a street from a crossing, after standing there, then north."""
+    key = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(key.cast("string").alias("trip_id"), (key % 4 * 200).cast("double").alias("x0"), (key % 5 * 200).cast("double").alias("y0"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples + still).cast("long"))).alias("idx"))
+    m = F.greatest(F.col("idx") - still, F.lit(0)) * 5.0
+    x, y = F.col("x0") + F.least(m, F.lit(200.0)), F.col("y0") + F.greatest(m - 200.0, F.lit(0.0))
+    return s.select("trip_id", "idx", x.alias("x"), y.alias("y"), F.when(F.col("idx") < still, 0.0).otherwise(5.0).alias("speed"), F.lit(2.0).alias("acc_h"), F.lit(2.0).alias("acc_v"))
+
+
+@query()
+def map_match(spark, sf_dir):
+    states = tables.saver(spark, "match")(smoothing.smooth_trips(_rides(spark, sf_dir, 60)), "states")
+    seg = mapmatch.match_trips(states, _town(spark))
+    return seg.select("trip_id", "seg_no", "edge.u", "edge.v", "status", F.round("begin.projection", 3).alias("begin"), F.round("end.projection", 3).alias("end"))
+
+
+@query()
+def matched_features(spark, sf_dir):
+    states = tables.saver(spark, "match")(smoothing.smooth_trips(_rides(spark, sf_dir, 60)), "states")
+    f = features.trip_features(mapmatch.accepted(mapmatch.match_trips(states, _town(spark))), _town(spark))
+    return f.select("trip_id", "left_turn", "right_turn", "intersections", "duration", *[F.round(c, 3).alias(c) for c in f.columns if c.startswith("length") or c == "avg_speed"])
+
 
+@query()
+def poi_cluster(spark, sf_dir):
+    save = tables.saver(spark, "places")
+    _, visits = clusters.cluster_trips(save(smoothing.smooth_trips(_rides(spark, sf_dir, 40, still=30)), "states"), save)
+    return clusters.trips_by_place(visits)
+
+
+def _ends(df: DataFrame, key) -> DataFrame:
+    at = lambda k: ((key * k) % 1400).cast("double")
+    return df.select(key.cast("string").alias("trip_id"), at(131).alias("x0"), at(373).alias("y0"), at(617).alias("x1"), at(911).alias("y1"))
+
+
+@query()
+def route_choice(spark, sf_dir):
+    ends = _ends(table(spark, sf_dir, "supplier"), F.col("s_suppkey"))
+    return routes.route_vectors(ends, _town(spark), costs.MATCH_WEIGHTS).select("trip_id", F.transform("vector", lambda v: F.round(v, 4)).alias("vector"))
+
+
+@query()
+def ioc_fit(spark, sf_dir):
+    """The weights learnt from the cheapest routes between ends made of the nations' keys."""
+    save = tables.saver(spark, "learn")
+    ends, town = _ends(table(spark, sf_dir, "nation"), F.col("n_nationkey") + 1), save(_town(spark), "town")
+    chosen = routes.route_vectors(ends, town, costs.MATCH_WEIGHTS).where("vector is not null").join(ends, "trip_id")
+    examples = save(chosen.select("trip_id", "x0", "y0", "x1", "y1", *[F.col("vector")[k].alias(c) for k, c in enumerate(routes.VECTOR)]), "examples")
+    weights, _, axes = routes.learn_weights(examples, town, batches=2, epochs=1)
+    return spark.createDataFrame([(c, round(float(w), 6)) for c, w in zip(routes.VECTOR, axes @ weights, strict=True)], "feature string, weight double")
+
+
+@query()
+def kalman_smooth(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     t = tracks(spark, sf_dir).withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
     points = t.select(F.col("user_id").cast("string").alias("trip_id"), "idx", (F.col("idx") * 3 + F.col("x") / 500).alias("x"), (F.col("idx") * 2 + F.col("y") / 1000).alias("y"), F.lit(3.6).alias("speed"), F.lit(2.0).alias("acc_h"), F.lit(2.0).alias("acc_v"))
