@@ -116,6 +116,22 @@ def test_line_dedup(docs, empty):
     assert gone == {i for i, t in want.items() if t is None or t.strip() or not (ROWS[i][1] or "").strip()}
 
 
+def test_lines_are_sets_of_words(spark):
+    # One inner word replaced: 11 of 13 words are shared, but 9 of 13 pairs of neighbours. The same words in another order are like, too.
+    words = [f"w{k}" for k in range(12)]
+    lines = [words, [*words[:6], "other", *words[7:]], [*words[:4], "x", "y", *words[6:]], words[::-1], [*words, *words[:5]]]
+    for n in (9, 10, 11, 18, 19):
+        w = [f"n{n}w{k}" for k in range(n)]
+        lines += [w, [*w[:4], "other", *w[5:]], [*w[:4], "x", "y", *w[6:]], w[: n - 1]]
+    texts, seen, want = [" ".join(w) for w in lines], [], {}
+    for k, w in enumerate(lines):
+        s = set(w)
+        want[k] = int(any(5 * len(s & x) >= 4 * len(s | x) for x in seen))
+        seen.append(s)
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == want and want[1] == want[3] == 1 and want[2] == 0
+
+
 def test_secret_scan(docs, empty):
     rules = [
         ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
