@@ -103,6 +103,21 @@ def test_box_join_has_each_pair_once(spark, cell):
     assert got == want
 
 
+def test_nearest_values_with_ties(spark, tmp_path):
+    def stored(rows, schema, name):  # read from files: Spark 4.1 fails to plan k=1 over rows of the driver
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    cases = [([100.0] * 3, 1), ([100.0] * 3 + [160.0, 150.0], 3), ([100.0] * 5, 3), ([100.0] * 4 + [300.0] * 4, 3), ([5.0, 5.0, 7.0, 9.0, 9.0, 9.0, 200.0, 200.0], 2), ([], 2), ([3.0], 2)]
+    lefts = [(1, 200.0), (2, 100.0), (3, 8.0), (4, -1.0), (5, 1000.0), (6, 200.0)]
+    left = stored(lefts, "a long, v double", "left")
+    for n, (values, k) in enumerate(cases):
+        rights = [(key, v) for key, v in zip(range(len(values), 0, -1), values, strict=True)]
+        want = {(a, b, m + 1) for a, v in lefts for m, (_, b) in enumerate(sorted((abs(v - w), key) for key, w in rights)[:k])}
+        near = spatial.nearest_on_axis(left, stored(rights, "b long, w double", f"right{n}"), "a", "v", "b", "w", k)
+        assert {(r.a, r.b, r["rank"]) for r in near.collect()} == want
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as e
 
