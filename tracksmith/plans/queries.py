@@ -379,12 +379,12 @@ def route_choice(spark, sf_dir):
 
 @query()
 def ioc_fit(spark, sf_dir):
-    """The weights learnt from the cheapest routes between ends made of the nations' keys."""
+    """The weights learnt from the cheapest routes between ends made of the suppliers' keys."""
     save = tables.saver(spark, "learn")
-    ends, town = _ends(table(spark, sf_dir, "nation"), F.col("n_nationkey") + 1), save(_town(spark), "town")
+    ends, town = _ends(table(spark, sf_dir, "supplier"), F.col("s_suppkey")), save(_town(spark), "town")
     chosen = routes.route_vectors(ends, town, costs.MATCH_WEIGHTS).where("vector is not null").join(ends, "trip_id")
     examples = save(chosen.select("trip_id", "x0", "y0", "x1", "y1", *[F.col("vector")[k].alias(c) for k, c in enumerate(routes.VECTOR)]), "examples")
-    weights, _, axes = routes.learn_weights(examples, town, batches=2, epochs=1)
+    weights, _, axes = routes.learn_weights(examples, town)
     return spark.createDataFrame([(c, round(float(w), 6)) for c, w in zip(routes.VECTOR, axes @ weights, strict=True)], "feature string, weight double")
 
 
