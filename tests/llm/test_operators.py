@@ -103,8 +103,7 @@ def test_line_dedup(docs, empty):
     for i, t, _ in ROWS:
         kept = []
         for line in (t or "").split("\n"):
-            w = line.encode().lower().split()
-            s = set(zip(w, w[1:], strict=False)) if len(w) > 1 else set(w)
+            s = set(re.split("[\\x09-\\x0D ]", line.lower())) - {""}
             if not s or not any(5 * len(s & x) >= 4 * len(s | x) for x in seen):
                 kept.append(line)
             seen += [s] if s else []
@@ -132,6 +131,31 @@ def test_lines_are_sets_of_words(spark):
     assert {r.doc_id: r.n_removed for r in got} == want and want[1] == want[3] == 1 and want[2] == 0
 
 
+def test_lines_with_a_common_word_and_long_ones(spark):
+    # One word stands in every line; sizes around the bounds of the sketches; edits around the threshold; families without their base.
+    r = np.random.default_rng(3)
+    rows, bases = [], [[f"b{k}x{j}" for j in range(n)] for k, n in enumerate((5, 9, 14, 30, 63, 64, 65, 66, 90, 200, 700))]
+    for b in bases:
+        for e in (0, 1, 1, 2, len(b) // 10, len(b) // 9, len(b) // 8, len(b) // 5):
+            w = list(b)
+            for k in r.choice(len(b), e, replace=False):
+                w[k] = f"e{r.integers(10**9)}"
+            rows.append("everywhere " + " ".join(r.permutation(w[: len(w) - int(r.integers(2))])))
+    rows = [rows[k] for k in r.permutation(len(rows))]
+    texts = ["\n".join(rows[k : k + 3]) for k in range(0, len(rows), 3)]
+    seen, want = [], {}
+    for i, t in enumerate(texts):
+        kept = []
+        for line in t.split("\n"):
+            s = set(line.split())
+            if not any(5 * len(s & x) >= 4 * len(s | x) for x in seen):
+                kept.append(line)
+            seen.append(s)
+        want[i] = "\n".join(kept)
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and want != dict(enumerate(texts))
+
+
 def test_secret_scan(docs, empty):
     rules = [
         ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),

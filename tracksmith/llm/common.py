@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -53,11 +52,6 @@ class Workspace:
         for t in tables:
             delete(self.spark, t._saved_at)
 
-    def release(self) -> None:
-        """Lets Spark remove the shuffle files of steps that nothing refers to any more; else they stay until the driver is short of memory."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def close(self) -> None:
         try:
             delete(self.spark, self.path)
@@ -70,6 +64,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: The same for rows of any width, by the sum of their bytes.
+BROADCAST_BYTES = 16_000_000
+
+
+def small_by_bytes(df: DataFrame, width: Column) -> DataFrame:
+    """df, to be broadcast if its rows, each of so many bytes, take no more than BROADCAST_BYTES. df must be cheap to read."""
+    total = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """A key for a row by its contents; repeated rows share it and get the same results."""
     return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("a"), F.hash(F.coalesce(text, F.lit("\0"))).alias("b"))
