@@ -79,6 +79,11 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("a"), F.hash(F.coalesce(text, F.lit("\0"))).alias("b"))
 
 
+def text_key(text: Column) -> Column:
+    """A key of 96 bits for a text: equal texts share it, whatever rows carry them. Null has one of its own."""
+    return F.struct(F.xxhash64(text).alias("a"), F.hash(F.coalesce(text, F.lit("\0"))).alias("b"))
+
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = "\t\n\x0b\x0c\r"
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, row_key, small, split_words
+from .common import Workspace, small, small_by_bytes, split_words, text_key
 
 #: Words are runs of ASCII digits and letters and of everything beyond ASCII; the other ASCII signs part them.
 BREAKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
@@ -89,17 +89,23 @@ def item_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
 
     A word is hit if it lies in an occurrence of an item window. contaminated: a hit, and at least a twentieth of the words.
     Null and empty texts have no words and no hits; items without words are left out; equal items of several ids count each; an
-    item without an id gives hits but isn't counted. Repeated rows get equal results, and a repeated id is judged by each of its
-    texts. Empty tables on either side give no hits. Other columns aren't looked at.
+    item without an id gives hits but isn't counted. Equal texts get equal results, whatever their ids, and are extended once.
+    Empty tables on either side give no hits. Other columns aren't looked at.
     """
+    out = judged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), benchmark, "text", item_id, item_text, span, k)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, span: int, k: int) -> DataFrame:
+    """The columns of docs but for text, with key, n_words, n_hit, n_items, items_sha256, whole (a window of span words occurs) and contaminated."""
     work = Workspace(docs.sparkSession, "decontamination")
     body = F.col(text).cast("string")
     windows = work.save(item_windows(benchmark, item_id, item_text, span, k), "windows", narrow=True)
     spans = sorted(r[0] for r in windows.select(F.size("w")).distinct().collect())  # span lengths at most
-    base = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), body).alias("key"), F.size(words_of(body)).cast("long").alias("n_words"))
+    base = docs.select(*[c for c in docs.columns if c != text], text_key(body).alias("key"), F.size(words_of(body)).cast("long").alias("n_words"))
     nothing = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
     if not spans:
-        return base.withColumns(nothing).withColumn("contaminated", F.lit(False)).drop("key")
+        return base.withColumns(nothing | {"whole": F.lit(False), "contaminated": F.lit(False)})
     prints = work.save(window_prints(windows.select("w").distinct(), spans, k).withColumn("wid", F.xxhash64(F.concat_ws(" ", "w"))), "prints", narrow=True)
 
     def with_all_grams(df: DataFrame) -> DataFrame:
@@ -109,7 +115,7 @@ def item_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
         return df
 
     # Which documents share a fingerprint, and which fingerprints.
-    rows = with_all_grams(docs.select(row_key(F.col(doc_id), body).alias("key"), body.alias("body")).where("body is not null")).drop("body", "words")
+    rows = with_all_grams(docs.select(text_key(body).alias("key"), body.alias("body")).where("body is not null")).drop("body", "words")
     for s in spans:
         g = gram_length(s, k)
         rows = with_minima(rows, f"g{g}", s - g + 1, f"f{s}")
@@ -120,8 +126,9 @@ def item_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     shared = work.save(shared, "shared", narrow=True)
 
     # The places of these grams, extended to windows.
-    rows = docs.select(row_key(F.col(doc_id), body).alias("key"), body.alias("body")).where("body is not null")
-    rows = with_all_grams(rows.join(small(shared), "key"))
+    rows = docs.select(text_key(body).alias("key"), body.alias("body")).where("body is not null")
+    rows = rows.join(small_by_bytes(shared, 40 + 8 * F.size("prints")), "key").dropDuplicates(["key"])  # copies of a text are extended once
+    rows = with_all_grams(rows)
     places = F.concat(*[F.filter(F.transform(f"g{g}", lambda h, i: F.struct(h.alias("print"), i.alias("p"))), lambda x: F.array_contains("prints", x["print"])) for g in sorted({gram_length(s, k) for s in spans})])
     rows = rows.withColumn("place", F.explode_outer(places)).withColumn("from", F.greatest(F.col("place.p") - (span - 1), F.lit(0)))
     rows = rows.select("key", F.col("place.print").alias("print"), F.col("place.p").alias("p"), "from", F.slice("words", F.col("from") + 1, F.lit(2 * span)).alias("near"))
@@ -137,19 +144,26 @@ def item_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
         lambda acc, x: F.struct(F.greatest(acc.end, x.e).alias("end"), (acc.n + F.greatest(x.e - F.greatest(acc.end, x.s), F.lit(0))).alias("n")),
         lambda acc: acc.n.cast("long"),
     )
-    n_hit = hits.groupBy("key").agg(covered.alias("n_hit"))
+    n_hit = hits.groupBy("key").agg(covered.alias("n_hit"), F.max((F.col("e") - F.col("s")) == span).alias("whole"))
     of = windows.select(F.xxhash64(F.concat_ws(" ", "w")).alias("wid"), "item").where("item is not null").distinct()
     items = hits.select("key", "wid").distinct().join(small(of), "wid").select("key", "item").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = n_hit.join(items, "key", "left")
+    own = [c for c in base.columns if c not in ("key", "n_words")]
     out = base.join(found, "key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", nothing["n_hit"]).alias("n_hit"),
+        *own, "key", "n_words", F.coalesce("n_hit", nothing["n_hit"]).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"),
+        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"), F.coalesce("whole", F.lit(False)).alias("whole"),
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that item_hits calls contaminated; rows with a null id stay."""
-    gone = item_hits(docs, benchmark, doc_id=doc_id, text=text).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
+    """docs without the rows that hold a window of span item words, however long their texts are, or that item_hits calls contaminated.
+
+    An item shorter than span may be an ordinary phrase, so it alone drops a text only if that is contaminated. Rows are judged by
+    their texts: repeated and null ids change nothing. Null and empty texts stay; with an empty benchmark all rows do.
+    """
+    body = F.col(text).cast("string")
+    found = judged(docs.select(body.alias("text")), benchmark, "text", item_id, item_text, span, k)
+    gone = found.where("whole or contaminated").select(F.col("key").alias("_gone")).distinct()
+    return docs.withColumn("_key", text_key(body)).join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
