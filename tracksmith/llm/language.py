@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import Workspace, small
 
 SLOTS = 32_768
-#: The trigram model is fitted on so many labelled rows at most, those with the smallest hashes, and so many languages.
-MAX_LABELLED, MAX_LANGUAGES = 6_000, 64
+#: The trigram model is fitted on about so many labelled rows of each language (all of a rarer one), those with the smallest hashes.
+MAX_LABELLED = 1_500
+#: The model and the sums have a column a language; with more languages than this there is an error, none is left out.
+MAX_LANGUAGES = 128
 #: Text counts as so many trigrams at most, so that long texts stay comparable with the other evidence.
 TEXT_WEIGHT = 60.0
 HOST_WEIGHT, DOMAIN_WEIGHT, SMOOTH = 4.0, 8.0, 0.5
@@ -81,10 +83,15 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, *, row_id: str, text: str, language: str, max_labelled: int = MAX_LABELLED) -> TextModel:
-    """From rows with a language and a text; counts are summed on the executors."""
-    rows = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("id"), F.col(language).cast("string").alias("l"))
-    chosen = rows.groupBy("id").agg(F.min("l").alias("l")).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_labelled)
-    train = labelled.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "id").select("l", "t")
+    """From rows with a language and a text; counts are summed on the executors. The sample is dealt by language: a row is in it
+    if its hash lies below the share that brings its language to max_labelled rows."""
+    rows = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).cast("string").alias("l"), F.col(row_id).alias("id"), F.col(text).cast("string").alias("t"))
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"the labels name more than {MAX_LANGUAGES} languages")
+    share = rows.sparkSession.createDataFrame([(r.l, min(1.0, max_labelled / r.n)) for r in sizes], "l string, share double")
+    u = F.pmod(F.xxhash64("id", "t"), F.lit(1 << 40)) / float(1 << 40)
+    train = rows.join(F.broadcast(share), "l").where(u < F.col("share")).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -98,15 +105,10 @@ def fit_text_model(labelled: DataFrame, *, row_id: str, text: str, language: str
 
     got = train.mapInArrow(count, "l string, slot long, n double").groupBy("l", "slot").agg(F.sum("n").alias("n")).toArrow()
     names, slots, n = got["l"].to_pylist(), got["slot"].to_numpy(), got["n"].to_numpy()
-    totals: dict[str, float] = {}
-    for name, v in zip(names, n, strict=True):
-        totals[name] = totals.get(name, 0.0) + v
-    languages = sorted(sorted(totals, key=lambda x: (-totals[x], x))[:MAX_LANGUAGES]) or ["und"]
+    languages = sorted(r.l for r in sizes) or ["und"]
     counts = np.zeros((SLOTS, len(languages)))
     index = {x: k for k, x in enumerate(languages)}
-    for name, slot, v in zip(names, slots, n, strict=True):
-        if name in index:
-            counts[slot, index[name]] += v
+    np.add.at(counts, (slots, np.fromiter((index[x] for x in names), np.int64, len(names))), n)
     return TextModel(languages, counts)
 
 
@@ -177,7 +179,8 @@ def identify(pages: DataFrame, documents: DataFrame, *, max_labelled: int = MAX_
 
     pages (page_id, url, html) have all kinds of evidence; documents (doc_id, text, source) have text and their source as host;
     their language column only trains the trigram model. Null and empty texts count for nothing, so the other evidence decides,
-    at worst the table's prior. Null or unreadable addresses have no host and no suffix. Ties go to the first language by name.
+    at worst the table's prior. It is fitted on about max_labelled rows of every language, all of them if there are fewer; every
+    language of the column can be answered, and more than MAX_LANGUAGES are an error. Null or unreadable addresses have no host and no suffix. Ties go to the first language by name.
     Repeated rows are judged each; without any labelled row every answer is "und". Other columns aren't looked at.
     """
     work = Workspace(pages.sparkSession, "language")
