@@ -35,9 +35,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = common.Workspace(spark, "secret-ledger")
-    found, ledger = secret_scan.scan_versions(table(spark, sf_dir, "documents").select("doc_id", "text"), work=work)
-    work.save(ledger, "ledger")
+    ledger = secret_scan.Ledger(spark, common.Workspace(spark, "secret-ledger").path + "/ledger")  # an empty one for each call
+    found = ledger.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *[c.alias(k) for k, c in secret_scan.digest_columns(F.col("findings")).items()])
 
 
