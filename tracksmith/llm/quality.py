@@ -1,9 +1,11 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer numpy network, calibrated probabilities.
 
-A word has two parts: its spelling (lower case, hashed into WORD_SLOTS slots) and its shape (letters, capitals, digits and marks
-by class, hashed into SHAPE_SLOTS slots). Each slot has a sparse random index vector. A slot's word vector is its index vector
-plus what it has gathered from the index vectors of its neighbours in the training texts. A document is the mean of its words'
-vectors, the mean over its distinct words, and a few ratios. Everything is learned here.
+A word is known by its spelling, hashed into WORD_SLOTS slots, and by its shape (letters, capitals, digits and marks by class),
+hashed into SHAPE_SLOTS slots. Every slot has a sparse random index vector, and a word's index vector is the sum of its two.
+Over the training texts each slot gathers the index vectors of the words around its uses; what it has gathered beyond the average
+word's surroundings is its context vector. A word vector is the index vectors of both slots plus their context vectors. A document
+is pooled as the mean of its words' vectors, their deviation, and the mean product of neighbours' vectors, which tells whether
+words stand where they are expected. Everything is learned here.
 """
 
 from __future__ import annotations
@@ -18,87 +20,92 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-WORD_SLOTS, SHAPE_SLOTS, DIM, NONZERO, WINDOW = 4_096, 2_048, 96, 6, 2
+WORD_SLOTS, SHAPE_SLOTS, DIM, NONZERO, WINDOW = 32_768, 2_048, 64, 6, 2
+SLOTS, POOLS = WORD_SLOTS + SHAPE_SLOTS, 3
+#: A slot with so many uses has half the weight that its context vector can have.
+HALF_USES = 5.0
 #: The classifier is fitted on so many labelled rows at most, those with the smallest hashes.
 MAX_LABELLED = 8_000
-HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 3e-3
+HIDDEN, EPOCHS, RATE, DECAY = 32, 40, 3e-3, 3e-3
+#: Words of a text that are looked at together; longer ones go in pieces.
+PIECE = 20_000
 
 _SHAPE = bytes(b"a"[0] if 97 <= b <= 122 or b >= 128 else b"A"[0] if 65 <= b <= 90 else b"0"[0] if 48 <= b <= 57 else b for b in range(256))
 
 
-def index_vectors(slots: int, dim: int, nonzero: int, seed: int) -> np.ndarray:
-    """Sparse ternary vectors: half of the nonzero entries 1, half -1."""
-    rng, out = np.random.default_rng(seed), np.zeros((slots, dim), np.float32)
-    at = rng.random((slots, dim)).argpartition(nonzero, axis=1)[:, :nonzero]
-    np.put_along_axis(out, at, np.where(np.arange(nonzero) % 2, -1, 1).astype(np.float32)[None], axis=1)
+def index_vectors(seed: int = 11) -> np.ndarray:
+    """Sparse ternary vectors of length 1, a row a slot: half of the nonzero entries above 0, half below."""
+    rng, out = np.random.default_rng(seed), np.zeros((SLOTS, DIM), np.float32)
+    at = rng.random((SLOTS, DIM)).argpartition(NONZERO, axis=1)[:, :NONZERO]
+    np.put_along_axis(out, at, (np.where(np.arange(NONZERO) % 2, -1, 1) / np.sqrt(NONZERO)).astype(np.float32)[None], axis=1)
     return out
 
 
 class _Slots(dict):
-    def __init__(self, slots: int, cut: int | None = None):
+    def __init__(self, first: int, slots: int):
         super().__init__()
-        self.slots, self.cut = slots, cut
+        self.first, self.slots = first, slots
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 400_000:
             self.clear()
-        value = self[word] = crc32(word[: self.cut]) % self.slots
+        value = self[word] = self.first + crc32(word) % self.slots
         return value
 
 
-def slots_of(text: str, memo: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Word and shape slots of a whole text. A shape keeps its first 24 signs."""
+def slots_of(text: str, memo: dict) -> np.ndarray:
+    """Two rows, the slots of the words' spellings and of their shapes, over the whole text."""
     if "w" not in memo:
-        memo["w"], memo["s"] = _Slots(WORD_SLOTS), _Slots(SHAPE_SLOTS, 24)
+        memo["w"], memo["s"] = _Slots(0, WORD_SLOTS), _Slots(WORD_SLOTS, SHAPE_SLOTS)
     raw = text.encode()
-    words, shapes = raw.lower().split(), raw.translate(_SHAPE).split()
-    return np.fromiter(map(memo["w"].__getitem__, words), np.int64, len(words)), np.fromiter(map(memo["s"].__getitem__, shapes), np.int64, len(shapes))
+    words, shapes = raw.split(), raw.translate(_SHAPE).split()
+    return np.stack([np.fromiter(map(memo["w"].__getitem__, words), np.int64, len(words)), np.fromiter(map(memo["s"].__getitem__, shapes), np.int64, len(shapes))])
 
 
-def gather_context(w: np.ndarray, s: np.ndarray, index: tuple[np.ndarray, np.ndarray], into: np.ndarray) -> None:
-    """Adds to each word slot the shape index vectors of its neighbours, and to each shape slot those of its own."""
-    unit = index[1][s]
+def gather_context(slots: np.ndarray, index: np.ndarray, into: np.ndarray, uses: np.ndarray) -> None:
+    """Adds to both slots of each word the index vectors of its neighbours, and counts their uses."""
+    unit = index[slots].sum(0)
     near = np.zeros_like(unit)
     for d in range(1, WINDOW + 1):
-        if len(s) > d:
+        if len(unit) > d:
             near[d:] += unit[:-d]
             near[:-d] += unit[d:]
-    np.add.at(into, w, near)
-    np.add.at(into, WORD_SLOTS + s, near)
+    for row in slots:
+        np.add.at(into, row, near)
+        np.add.at(uses, row, 1)
 
 
-RATIOS = 8
-
-
-def ratios(text: str, w: np.ndarray, distinct: int) -> list[float]:
-    n = max(1, len(w))
-    lines = text.split("\n")
-    chars = max(1, len(text))
-    return [distinct / n, len(set(lines)) / len(lines), np.log1p(len(w)), np.log1p(len(lines)), chars / n / 10, text.count(".") / n, text.count(",") / n, chars / len(lines) / 400]
+def word_vectors(context: np.ndarray, uses: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Index vectors plus context vectors: what a slot gathered less what as many average words would have, scaled to a length that
+    grows to 1 with its uses."""
+    average = context[:WORD_SLOTS].sum(0) / max(1.0, uses[:WORD_SLOTS].sum())
+    own = context - uses[:, None] * average
+    length = np.linalg.norm(own, axis=1, keepdims=True)
+    return (index + own / np.maximum(length, 1e-9) * np.sqrt(uses / (uses + HALF_USES))[:, None]).astype(np.float32)
 
 
 def pooled(text: str, vectors: np.ndarray, memo: dict) -> np.ndarray:
-    """The features of a text; zeros and the ratios of nothing if it has no words."""
-    w, s = slots_of(text, memo)
-    out = np.zeros(3 * DIM + RATIOS, np.float32)
-    uw, nw = np.unique(w, return_counts=True)
-    us, ns = np.unique(s, return_counts=True)
-    if len(w):
-        out[:DIM] = nw.astype(np.float32) @ vectors[uw] / len(w)
-        out[DIM : 2 * DIM] = ns.astype(np.float32) @ vectors[WORD_SLOTS + us] / len(s)
-        out[2 * DIM : 3 * DIM] = vectors[WORD_SLOTS + us].mean(0)
-    out[3 * DIM :] = ratios(text, w, len(uw))
-    return out
+    """The features of a text; zeros if it has no words."""
+    slots = slots_of(text, memo)
+    n, last = slots.shape[1], None
+    sums = np.zeros((POOLS, DIM))
+    for at in range(0, n, PIECE):
+        v = vectors[slots[:, at : at + PIECE]].sum(0)
+        sums[0] += v.sum(0, dtype=np.float64)
+        sums[1] += np.einsum("ij,ij->j", v, v)
+        sums[2] += np.einsum("ij,ij->j", v[1:], v[:-1]) + (0 if last is None else last * v[0])
+        last = v[-1]
+    mean = sums[0] / max(1, n)
+    return np.concatenate([mean, np.sqrt(np.maximum(sums[1] / max(1, n) - mean * mean, 0)), sums[2] / max(1, n - 1)]).astype(np.float32)
 
 
-def unit_rows(context: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Word vectors: what a slot gathered, scaled to length 1, plus its own index vector."""
-    norm = np.linalg.norm(context, axis=1, keepdims=True)
-    return (context / np.maximum(norm, 1e-9) + np.vstack(index) / np.sqrt(NONZERO)).astype(np.float32)
+#: Temperatures that are tried.
+GRID = np.geomspace(0.01, 100, 161)
 
 
 class Network:
-    """Two layers, trained by Adam on the log loss with decay; temperature set on a part kept from training."""
+    """Two layers, trained by Adam on the log loss with decay. The temperature is the best of a grid on a part kept from training,
+    against targets short of 0 and 1 by what that part's size leaves open, so that it is finite even if the classes part without error."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 5, members: int = 5):
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
@@ -109,9 +116,10 @@ class Network:
         self.layers = [self._train(z[fit], y[fit], np.random.default_rng(seed + 1 + m)) for m in range(members)]
         self.temperature = 1.0
         raw = self._logit(z[held])
-        grid = np.geomspace(0.25, 8, 61)
-        p = 1 / (1 + np.exp(-np.clip(raw[None] / grid[:, None], -30, 30)))
-        self.temperature = float(grid[(-(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p))).mean(1).argmin()])
+        ones = y[held].sum()
+        wanted = np.where(y[held] > 0.5, (ones + 1) / (ones + 2), 1 / (len(held) - ones + 2))
+        z = np.clip(raw[None] / GRID[:, None], -500, 500)
+        self.temperature = float(GRID[(np.logaddexp(0, z) - wanted * z).mean(1).argmin()])
 
     def _scaled(self, x):
         return np.clip((x - self.mean) / self.scale, -6, 6)
@@ -150,23 +158,26 @@ def fit(work: Workspace, docs: DataFrame, labels: DataFrame, *, doc_id: str = "d
     chosen = lab.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     train = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_id").select("_y", "_t")
     train = work.save(train, "training")
-    index = index_vectors(WORD_SLOTS, DIM, NONZERO, 11), index_vectors(SHAPE_SLOTS, DIM, NONZERO, 12)
-    slots = WORD_SLOTS + SHAPE_SLOTS
+    index = index_vectors()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, into = {}, np.zeros((slots, DIM), np.float32)
+        memo, into, uses = {}, np.zeros((SLOTS, DIM)), np.zeros(SLOTS)
         for batch in batches:
             for t in batch.column(0):
-                gather_context(*slots_of(t.as_py(), memo), index, into)
-        at = np.flatnonzero(into.any(1))
+                gather_context(slots_of(t.as_py(), memo), index, into, uses)
+        at = np.flatnonzero(uses)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, DIM)), pa.array(np.tile(np.arange(DIM), len(at))), pa.array(into[at].astype(np.float64).ravel())], names=["slot", "dim", "v"])
-
-    few = train.select("_t").repartition(4)
-    sums = few.mapInArrow(contexts, "slot long, dim long, v double").groupBy("slot", "dim").agg(F.sum("v").alias("v")).toArrow()
-    context = np.zeros((slots, DIM), np.float32)
-    context[sums["slot"].to_numpy(), sums["dim"].to_numpy()] = sums["v"].to_numpy()
-    vectors = unit_rows(context, index)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(into[at].ravel()), DIM).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(uses[at]), flat], names=["slot", "uses", "v"])
+
+    # A table of fixed size a task: so few tasks, each with many rows.
+    few = train.select("_t").repartition(max(1, -(-max_labelled // 2_000)))
+    sums = few.mapInArrow(contexts, "slot long, uses double, v array<double>").groupBy("slot").agg(F.sum("uses").alias("uses"), F.array(*[F.sum(F.col("v")[k]) for k in range(DIM)]).alias("v")).toArrow()
+    context, uses = np.zeros((SLOTS, DIM)), np.zeros(SLOTS)
+    if sums.num_rows:
+        context[sums["slot"].to_numpy()] = sums["v"].combine_chunks().flatten().to_numpy().reshape(-1, DIM)
+        uses[sums["slot"].to_numpy()] = sums["uses"].to_numpy()
+    vectors = word_vectors(context, uses, index)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = {}
