@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracksmith.functions import geometry as g
-from tracksmith.operators import smoothing, spatial, trips
+from tracksmith.operators import smoothing, spatial, tables, trips
 from tracksmith.operators.kalman import State, truncated_moments
 from tracksmith.operators.search import best_path
+from tracksmith.sources import described
 
 
 def test_truncation_is_the_identity_on_wide_bounds():
@@ -47,6 +48,51 @@ def test_a_straight_trip_is_smoothed_and_a_wild_one_rejected():
     assert smoothing.forward(rows[:1]) is None
 
 
+def _trail(*positions):
+    """States at such x, as sure as can be, with the velocity that leads to the next."""
+    xs = np.array(positions, float)
+    v = np.append(np.diff(xs), 0)
+    return [State([x, 0, u, 0], np.eye(4)) for x, u in zip(xs, v, strict=True)]
+
+
+@pytest.mark.parametrize("samples", [19, 20, 21])
+def test_a_stop_counts_from_twenty_samples(samples):
+    # 10 steps of 50 m, one sample that stands still, so many more there, then 10 steps away.
+    away = [50.0 * k for k in range(11)]
+    trail = _trail(*away, *[500.0] * samples, *[500 + 50.0 * k for k in range(1, 11)])
+    found = smoothing.stops(trail)
+    assert [k for k, _ in found] == [0, *([10 + samples] if samples >= 20 else []), len(trail) - 1]
+    assert abs(found[0][1].x[0]) < 1e-9 and found[-1][1].x[0] == 1000
+    if samples >= 20:  # the fused state, not the raw one
+        assert abs(found[1][1].x[0] - 500) < 1 and np.allclose(found[1][1].x[2:], 0) and found[1][1].p[0, 0] < 1
+
+
+def test_a_trip_that_never_leaves_is_one_place():
+    found = smoothing.stops(_trail(*[0.0] * 30))
+    assert [k for k, _ in found] == [29] and found[0][1].p[0, 0] < 1
+    assert smoothing.stops([]) == []
+    assert [k for k, _ in smoothing.stops(_trail(*[30.0 * k for k in range(60)]))] == [0, 59]
+
+
+def test_trimming_holds_a_state_at_either_end():
+    trail = _trail(*[0.0] * 5, *[40.0 * k for k in range(1, 6)], *[200.0] * 4)
+    out, noise = smoothing.trim(trail)
+    # The fifth state stands at 0 but moves on already; the last of five steps stands at the end.
+    x, p = np.zeros(2), np.array([3.0, 2.0])  # variance of place and velocity of the held state
+    for _ in range(3):
+        p = p + [2, 0]
+        p[0] = p[0] / (p[0] + 1)
+    assert np.allclose(noise, smoothing.NOISE) and len(out) == 1 + 5 + 1
+    assert np.allclose(out[0].x[:2], x) and math.isclose(out[0].p[0, 0], p[0] + 2) and math.isclose(out[0].p[2, 2], 2)
+    assert [s.x[0] for s in out[1:-1]] == [0, 40, 80, 120, 160] and abs(out[-1].x[0] - 200) < 1e-9
+    assert len(smoothing.trim(_trail(*[0.0] * 9))[0]) == 2  # without a departure: its two ends
+    assert len(smoothing.trim(_trail(0.0, 50.0))[0]) == 2
+    same, shared = smoothing.trim(trail, compat=True)
+    # One matrix for all: no noise in velocity, and the variances of both ends in place.
+    assert math.isclose(shared[0, 0], 2 + 1 + 1) and shared[2, 2] == 0 and same[0].p[2, 2] == 0
+    assert not np.allclose(same[0].p, out[0].p)
+
+
 def test_affinity_propagation_finds_two_places():
     rng = np.random.default_rng(1)
     pts = np.vstack([rng.normal(0, 5, (10, 2)), rng.normal(5000, 5, (10, 2))])
@@ -118,6 +164,43 @@ def test_nearest_values_with_ties(spark, tmp_path):
         assert {(r.a, r.b, r["rank"]) for r in near.collect()} == want
 
 
+def test_neighbours_in_the_plane_with_ties(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    left = [(f"a{k}", *map(float, rng.integers(0, 6, 2))) for k in range(40)] + [("far", 5000.0, -3000.0), ("none", None, 1.0), ("nan", float("nan"), 0.0)]
+    right = [(k, *map(float, rng.integers(0, 6, 2))) for k in rng.permutation(60).tolist()] + [(900, 1.0, None), (901, 900.0, 900.0)]
+    ldf, rdf = spark.createDataFrame(left, "l string, x double, y double"), spark.createDataFrame(right, "r long, x double, y double")
+    save = tables.saver(spark, "t")
+    for k, cell in ((1, None), (3, None), (5, 0.5), (100, None)):
+        got = {}
+        for row in spatial.nearest_in_plane(ldf, rdf, "l", "r", k, save, cell).collect():
+            got.setdefault(row.l, []).append((row["rank"], row.distance, row.r))
+        want = {n: sorted((math.hypot(a - x, b - y), r) for r, a, b in right if b is not None)[:k] for n, x, y in left[:41]}
+        assert {n: [(d, r) for _, d, r in sorted(v)] for n, v in got.items()} == want
+    assert spatial.nearest_in_plane(ldf.limit(0), rdf, "l", "r", 2, save).count() == 0 == spatial.nearest_in_plane(ldf, rdf.limit(0), "l", "r", 2, save).count()
+
+
+def test_regions(spark):
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    regions = spark.createDataFrame([(7, ring((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))), (3, ring((5, 5), (25, 5), (25, 25), (5, 5)))], "region int, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 2.0, 3.0), (2, 9.0, 8.0), (3, 20.0, 8.0), (4, 50.0, 50.0), (5, None, 1.0), (6, 6.0, 9.0)], "id long, x double, y double")
+    for cell in (1.0, 4.0, 100.0):
+        assert {r.id: r.region for r in spatial.regions_of(points, regions, "id", "x", "y", cell).collect()} == {1: 7, 2: 3, 3: 3, 4: None, 5: None, 6: 7}
+    assert {r.region for r in spatial.regions_of(points, regions.limit(0), "id", "x", "y", 2.0).collect()} == {None}
+
+
+def test_features_as_files(spark, tmp_path):
+    rows = [("a", 1.5, None), ("b", 2.0, 3)]
+    df = spark.createDataFrame(rows, "trip_id string, length double, left_turn int")
+    more = spark.createDataFrame([("b", 9.0, 4), ("c", 0.0, 1)], df.schema)
+    for ending in ("json", "csv"):
+        paths = [f"{tmp_path}/one.{ending}", f"{tmp_path}/two.{ending}"]
+        described.write(df, paths[0])
+        described.write(more, paths[1])
+        assert sorted(map(tuple, described.read(spark, paths, df.schema).collect())) == [("a", 1.5, None), ("b", 9.0, 4), ("c", 0.0, 1)]
+    with pytest.raises(ValueError):
+        described.write(df, f"{tmp_path}/one.txt")
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as e
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -219,3 +220,22 @@ def circulation_ok(sens: Column, ordered: Column) -> Column:
 
 def wrong_way(sens: Column, ordered: Column) -> Column:
     return F.coalesce(~circulation_ok(sens, ordered), F.lit(False))
+
+
+def merge_maps(*maps: Column) -> Column:
+    """One map of all entries; of a key that repeats, the later map's value counts. Null if any map is."""
+
+    def over(old: Column, new: Column) -> Column:
+        return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+    return reduce(over, maps)
+
+
+def only_point(parts: Column) -> Column:
+    """The point of a shape of one point: struct(x, y) of its first part's first point; null without any."""
+    return F.try_element_at(F.try_element_at(parts, F.lit(1)), F.lit(1))
+
+
+def multipoint(parts: Column) -> Column:
+    """All points of a shape's parts in order."""
+    return F.flatten(parts)

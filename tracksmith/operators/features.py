@@ -1,4 +1,4 @@
-"""Additive features of matched trips, all in one grouped aggregate."""
+"""Features of matched trips: sums in one grouped aggregate, heights and regions by joins on the trip."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import spatial
 
 
 def segment_length(seg: DataFrame) -> Column:
@@ -50,3 +51,28 @@ def slope_sums(df: DataFrame, key: str, order: list[str], x: str, y: str, z: str
     s = df.select(key, g.distance(F.col(x), F.col(y), nx, ny).alias("d"), (nz - F.col(z)).alias("dz")).where("d > 0")
     slope = F.col("dz") / F.col("d")
     return s.groupBy(key).agg(F.sum(slope * slope * F.col("d")).alias("elev_m2"), F.sum(slope * slope * slope * F.col("d")).alias("elev_m3"))
+
+
+def trip_nodes(segments: DataFrame) -> DataFrame:
+    """(trip_id, no, x, y): the first point of each segment, and the last point of the last one."""
+    s = segments.select("trip_id", "seg_no", "geometry", F.max("seg_no").over(Window.partitionBy("trip_id")).alias("_last")).where(F.size("geometry") > 0)
+    begin = F.struct(F.col("seg_no").alias("no"), F.element_at("geometry", 1).alias("p"))
+    end = F.when(F.col("seg_no") == F.col("_last"), F.struct((F.col("seg_no") + 1).alias("no"), F.element_at("geometry", -1).alias("p")))
+    return s.select("trip_id", F.explode(F.array_compact(F.array(begin, end))).alias("n")).select("trip_id", F.col("n.no").cast("long").alias("no"), "n.p.x", "n.p.y")
+
+
+def all_features(segments: DataFrame, edges: DataFrame, nodes_in: dict[str, DataFrame], with_height, regions: DataFrame, cell: float) -> DataFrame:
+    """trip_features with elev_m2 and elev_m3 along the segments, the regions of the first and last point (origin, destination), and
+    n_segments: what a trip is described by as a whole.
+
+    with_height(points) adds z to rows with x and y, for example by raster.sample; regions as spatial.regions_of takes them.
+    """
+    nodes = trip_nodes(segments)
+    slopes = slope_sums(with_height(nodes), "trip_id", ["no"], "x", "y", "z")
+    at = nodes.groupBy("trip_id").agg(F.min_by(F.struct("x", "y"), "no").alias("a"), F.max_by(F.struct("x", "y"), "no").alias("b"), (F.count("*") - 1).alias("n_segments"))
+    ends = at.select("trip_id", F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col("a").alias("p")), F.struct(F.lit(False).alias("first"), F.col("b").alias("p")))).alias("e"))
+    ends = ends.select(F.struct("trip_id", "e.first").alias("end"), "e.p.x", "e.p.y")
+    found = spatial.regions_of(ends, regions, "end", "x", "y", cell)
+    names = found.groupBy(F.col("end.trip_id").alias("trip_id")).agg(F.max(F.when(F.col("end.first"), F.col("region"))).alias("origin"), F.max(F.when(~F.col("end.first"), F.col("region"))).alias("destination"))
+    out = trip_features(segments, edges, nodes_in).join(slopes, "trip_id", "left").join(names, "trip_id", "left").join(at.select("trip_id", "n_segments"), "trip_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("elev_m2", "elev_m3")})

@@ -22,23 +22,36 @@ def _observed(s: State) -> np.ndarray:
     return np.array([s[0], s[1], math.hypot(s[2], s[3])])
 
 
+def initial(row: np.ndarray) -> State:
+    """The state that a trip begins with, from its first position."""
+    return State([row[0], row[1], 0, 0], 10 * np.eye(4))
+
+
+def advance(state: State, row: np.ndarray) -> tuple[State, float]:
+    """(the state a second later, fused with (x, y, speed, sigma x, sigma y) unless it is a gap; the error of the position)."""
+    x, y, speed, sx, sy = row
+    state, error = state.copy(), 0.0
+    state.predict(F, NOISE)
+    if not math.isnan(x):
+        if speed >= 0:
+            error = state.measure_unscented([x, y, speed], _observed, np.diag([sx * sx, sy * sy, 1.0]))
+        else:
+            error = state.measure([x, y], POSITION, np.diag([sx * sx, sy * sy]))
+    return state, error
+
+
 def forward(rows: np.ndarray) -> list[State] | None:
-    """States of (x, y, speed, sigma x, sigma y) rows, NaN positions being gaps; None for a trip that is rejected."""
+    """States of (x, y, speed, sigma x, sigma y) rows, NaN positions being gaps; None for a trip that is rejected. Gaps before the
+    first position have no state."""
     seen = np.flatnonzero(~np.isnan(rows[:, 0]))
     if len(rows) < 2 or not len(seen):
         return None
-    first = rows[seen[0]]
-    state, out, error = State([first[0], first[1], 0, 0], 10 * np.eye(4)), [], 0.0
-    for x, y, speed, sx, sy in rows[seen[0] :]:
-        state = state.copy()
-        state.predict(F, NOISE)
-        if not math.isnan(x):
-            if speed >= 0:
-                error = max(error, state.measure_unscented([x, y, speed], _observed, np.diag([sx * sx, sy * sy, 1.0])))
-            else:
-                error = max(error, state.measure([x, y], POSITION, np.diag([sx * sx, sy * sy])))
+    state, out, worst = initial(rows[seen[0]]), [], 0.0
+    for row in rows[seen[0] :]:
+        state, error = advance(state, row)
+        worst = max(worst, error)
         out.append(state)
-    return out if error <= MAX_ERROR and len(out) >= 2 else None
+    return out if worst <= MAX_ERROR and len(out) >= 2 else None
 
 
 def backward(states: list[State]) -> list[State] | None:
@@ -56,33 +69,38 @@ def backward(states: list[State]) -> list[State] | None:
     return out
 
 
-def _trim_start(states: list[State], noise: np.ndarray) -> list[State]:
-    """Fuses the states at the start that agree with standing still; without a departure the trip becomes its ends."""
-    still = states[0].copy()
-    still.constrain([0, 0], VELOCITY)
-    hold = noise.copy()
-    hold[2:, :] = hold[:, 2:] = 0
-    for i in range(1, len(states)):
-        here = states[i]
-        if still.measure_distance(here.x[:2], POSITION, here.p[:2, :2]) > STILL or i == len(states) - 1:
-            break
-        still.measure(here.x[:2], POSITION, here.p[:2, :2] + 1e-9 * np.eye(2))
-    else:
+def _trim_start(states: list[State], noise: np.ndarray, compat: bool) -> list[State]:
+    """Fuses the states at the start that agree with standing still: a state without velocity is held, its position drifting by the
+    noise, until one comes that is too far from it in place and velocity. Without a departure the trip becomes its two ends."""
+    if len(states) < 2:
         return states
-    return [State(still.x, still.p + 1e-9 * np.eye(4)), *states[i:]] if i > 1 else states
+    hold, p = (noise, noise) if compat else (noise.copy(), noise.copy())
+    hold[2:, 2:] = 0
+    p[:2, :2] += states[0].p[:2, :2]
+    still = State([*states[0].x[:2], 0, 0], p)
+    for i, here in enumerate(states[1:], 1):  # noqa: B007
+        still.predict(np.eye(4), hold)
+        if still.measure_distance(here.x, np.eye(4), here.p) > STILL:
+            break
+        still.measure(here.x[:2], POSITION, here.p[:2, :2])
+    return [still, *states[i:]] if i > 1 else states
 
 
-def trim(states: list[State]) -> list[State]:
-    out = _trim_start(states, NOISE)
-    return _trim_start(out[::-1], NOISE)[::-1]
+def trim(states: list[State], compat: bool = False) -> tuple[list[State], np.ndarray]:
+    """(trimmed states, noise of the transition). compat shares one noise matrix among all uses, as the first form of the method
+    did: its velocity block goes, the covariances of both ends are added to it, and the held state starts without doubt in velocity."""
+    noise = NOISE.copy()
+    out = _trim_start(states, noise, compat)
+    return _trim_start(out[::-1], noise, compat)[::-1], noise
 
 
 STATES = "trip_id string, idx long, x array<double>, p array<double>"
 
 
-def smooth_trips(points: DataFrame) -> DataFrame:
+def smooth_trips(points: DataFrame, compat: bool = False) -> DataFrame:
     """points (trip_id string, idx long, x, y, speed, acc_h, acc_v double; null x is a gap) to smoothed states; rejected trips have no rows.
 
+    idx counts the states that are left from 0: gaps before the first position have none, and states that trimming fused are one.
     A trip is one group: its rows are bounded by its length in seconds.
     """
 
@@ -90,35 +108,47 @@ def smooth_trips(points: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("idx")
         states = forward(pdf[["x", "y", "speed", "acc_h", "acc_v"]].astype(float).to_numpy())
         states = backward(states) if states else None
-        rows = [(pdf.trip_id.iloc[0], k, s.x.tolist(), s.p.ravel().tolist()) for k, s in enumerate(trim(states))] if states else []
+        states = trim(states, compat)[0] if states else []
+        rows = [(pdf.trip_id.iloc[0], k, s.x.tolist(), s.p.ravel().tolist()) for k, s in enumerate(states)] if len(states) >= 2 else []
         return pd.DataFrame(rows, columns=["trip_id", "idx", "x", "p"])
 
     return points.select("trip_id", "idx", "x", "y", "speed", "acc_h", "acc_v").groupBy("trip_id").applyInPandas(run, STATES)
 
 
-def stops(states: list[State]) -> list[int]:
-    """Indices of the stops: where the trip left a place after LEAST_SAMPLES there, and the last one."""
-    out, at, since = [], None, 0
-    for k, s in enumerate(states):
-        if at is not None:
-            if at.measure_distance(s.x[:2], POSITION, s.p[:2, :2]) > LEAVE:
-                if k - since >= LEAST_SAMPLES:
-                    out.append(since)
-                at = None
-        elif s.constraint_distance([0, 0], VELOCITY) < STAY:
-            at, since = s, k
-    if len(states):
-        out.append(len(states) - 1)
-    return sorted(set(out))
+def stops(states: list[State]) -> list[tuple[int, State]]:
+    """(index, state) of the stops: the state held at a place when the trip leaves it after LEAST_SAMPLES there, and the last state.
+
+    A trip begins at a place where it has been long enough. While it stops, the held state is moved on and fused with every sample,
+    read as standing still; the step that is too far from that is the departure. A moving trip stops at a state that agrees with
+    no velocity.
+    """
+    if not states:
+        return []
+    out, stopped, held, count = [], True, states[0], LEAST_SAMPLES
+    for k, here in enumerate(states):
+        last = here
+        if stopped:
+            last = held.copy()
+            last.predict(F, NOISE)
+            at = np.zeros((4, 4))
+            at[:2, :2] = here.p[:2, :2]
+            if last.measure([here.x[0], here.x[1], 0, 0], np.eye(4), at) > LEAVE:
+                if count >= LEAST_SAMPLES:
+                    out.append((max(k - 1, 0), held))
+                stopped = False
+            held, count = last, count + 1
+        elif here.constraint_distance([0, 0], VELOCITY) < STAY:
+            stopped, held, count = True, here, 0
+    return [*out, (len(states) - 1, last)]
 
 
 def stops_of(states: DataFrame) -> DataFrame:
-    """STATES rows to (trip_id, idx, px, py) of the stops."""
+    """STATES rows to (trip_id, idx, px, py) of the stops: idx is the last sample there, px and py where the held state is."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         trail = [State(x, np.reshape(p, (4, 4))) for x, p in zip(pdf.x, pdf.p, strict=True)]
-        return pd.DataFrame([(pdf.trip_id.iloc[0], int(pdf.idx.iloc[k]), float(trail[k].x[0]), float(trail[k].x[1])) for k in stops(trail)], columns=["trip_id", "idx", "px", "py"])
+        return pd.DataFrame([(pdf.trip_id.iloc[0], int(pdf.idx.iloc[k]), float(s.x[0]), float(s.x[1])) for k, s in stops(trail)], columns=["trip_id", "idx", "px", "py"])
 
     return states.groupBy("trip_id").applyInPandas(run, "trip_id string, idx long, px double, py double")
 

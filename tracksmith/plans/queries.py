@@ -173,6 +173,62 @@ def point_in_polygon(spark, sf_dir):
     return t.select("event_id", region.alias("region"))
 
 
+_REGIONS = """SELECT n_nationkey AS region, n_nationkey % 5 * 100.0 - 40 AS x0, n_nationkey % 5 * 100.0 + 85 AS x1, n_nationkey * 40.0 - 30 AS y0, n_nationkey * 40.0 + 90 AS y1 FROM nation"""
+
+
+@query(f"""WITH r AS ({_REGIONS}), p AS (SELECT event_id, value + 0.003 AS x, CAST(event_id % 1000 AS DOUBLE) + 0.5 AS y FROM events)
+SELECT event_id, min(region) AS region FROM p LEFT JOIN r ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY event_id""")
+def region_join(spark, sf_dir):
+    """Boxes made of the nations' keys as rings; a point in several belongs to the first."""
+    n = F.col("n_nationkey")
+    x0, x1, y0, y1 = n % 5 * 100.0 - 40, n % 5 * 100.0 + 85, n * 40.0 - 30, n * 40.0 + 90
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+    regions = table(spark, sf_dir, "nation").select(n.alias("region"), ring.alias("ring"))
+    t = tracks(spark, sf_dir).select("event_id", (F.col("x") + 0.003).alias("x"), (F.col("y") + 0.5).alias("y"))
+    return spatial.regions_of(t, regions, "event_id", "x", "y", 100.0)
+
+
+@query("""WITH c AS (SELECT c_custkey, CAST(c_custkey % 97 AS DOUBLE) AS x, CAST(c_custkey % 13 AS DOUBLE) AS y FROM customer), s AS (SELECT s_suppkey, CAST(s_suppkey % 31 AS DOUBLE) AS x, CAST(s_suppkey % 5 AS DOUBLE) AS y FROM supplier)
+SELECT c_custkey, s_suppkey, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM (SELECT c_custkey, s_suppkey, d AS distance, row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) AS rank
+  FROM (SELECT c_custkey, s_suppkey, sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) AS d FROM c, s)) WHERE rank <= 3""")
+def plane_knn(spark, sf_dir):
+    """Places on a small lattice, so that distances tie."""
+    place = lambda df, key, a, b: df.select(key, (F.col(key) % a).cast("double").alias("x"), (F.col(key) % b).cast("double").alias("y"))
+    near = spatial.nearest_in_plane(place(table(spark, sf_dir, "customer"), "c_custkey", 97, 13), place(table(spark, sf_dir, "supplier"), "s_suppkey", 31, 5), "c_custkey", "s_suppkey", 3, tables.saver(spark, "plane"))
+    return near.select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(_PAIR.replace("lead(", "lag(") + "SELECT event_id, round(sum(CASE WHEN nx IS NULL THEN 0 ELSE sqrt((nx-x)*(nx-x)+(ny-y)*(ny-y)) END) OVER (PARTITION BY user_id ORDER BY ts, event_id), 3) AS travelled FROM p")
+def cumulative_distance(spark, sf_dir):
+    return trips.cumulative_distance(tracks(spark, sf_dir), "user_id", ["ts", "event_id"], "x", "y").select("event_id", F.round("travelled", 3).alias("travelled"))
+
+
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS c FROM events)
+SELECT user_id, max(CASE WHEN r = 1 THEN event_id END) AS first_id, CAST(sum(CASE WHEN r <= 5 THEN event_id ELSE 0 END) AS BIGINT) AS first_five, CAST(sum(CASE WHEN r > 5 THEN event_id ELSE 0 END) AS BIGINT) AS rest FROM n GROUP BY user_id""")
+def take_and_drop(spark, sf_dir):
+    t, by = tracks(spark, sf_dir).select("user_id", "ts", "event_id"), ["ts", "event_id"]
+    one = trips.first(t, "user_id", by).select("user_id", F.col("event_id").alias("first_id"))
+    five = trips.take(t, "user_id", by, 5).groupBy("user_id").agg(F.sum("event_id").alias("first_five"))
+    rest = trips.drop(t, "user_id", by, 5).groupBy("user_id").agg(F.sum("event_id").alias("rest"))
+    return one.join(five, "user_id").join(rest, "user_id", "left").withColumn("rest", F.coalesce("rest", F.lit(0).cast("long")))
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND event_id % 11 = 0), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND event_id % 7 = 0)
+SELECT user_id, true AS entered FROM b WHERE user_id NOT IN (SELECT user_id FROM a) UNION ALL SELECT user_id, false FROM a WHERE user_id NOT IN (SELECT user_id FROM b)""")
+def set_changes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return spatial.changes(e.where("event_type = 'click' AND event_id % 11 = 0"), e.where("event_type = 'purchase' AND event_id % 7 = 0"), "user_id")
+
+
+@query("""SELECT c_custkey, c_mktsegment AS segment, CASE WHEN c_custkey % 2 = 0 THEN 'later' ELSE 'first' END AS status, CAST(CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END + 1 AS INT) AS n_keys FROM customer""")
+def merge_maps(spark, sf_dir):
+    even = F.col("c_custkey") % 2 == 0
+    a = F.create_map(F.lit("segment"), F.lit("none"), F.lit("status"), F.lit("first"))
+    b = F.when(even, F.create_map(F.lit("status"), F.lit("later"), F.lit("more"), F.lit("x"))).otherwise(F.create_map(F.lit("status"), F.lit("first")))
+    m = table(spark, sf_dir, "customer").select("c_custkey", g.merge_maps(a, b, F.create_map(F.lit("segment"), F.col("c_mktsegment"))).alias("m"))
+    return m.select("c_custkey", F.col("m")["segment"].alias("segment"), F.col("m")["status"].alias("status"), F.size("m").alias("n_keys"))
+
+
 _CENTERS = [(1, 100.0, 100.0), (2, 250.0, 500.0), (3, 400.0, 900.0)]
 
 
@@ -193,9 +249,9 @@ def semi_prune(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)")
 def anti_prune(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_anti")
 
 
@@ -211,11 +267,21 @@ def raster_sample(spark, sf_dir):
     return t.select("event_id", "at.line", "at.pixel").join(F.broadcast(grid), ["line", "pixel"], "left").select("event_id", "line", "pixel", "sampled")
 
 
-@query()
+def _krueger() -> str:
+    """The projection in SQL, from the same series."""
+    e, radius, alpha, _ = g._series()
+    x = " + ".join(["eta", *[f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1)]])
+    y = " + ".join(["xi", *[f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1)]])
+    return f"""WITH c AS (SELECT c_custkey, radians(-75 + c_custkey % 300 / 100 - {g.LON0!r}) AS lam, sin(radians(45 + c_custkey % 170 / 100)) AS s FROM customer),
+ t AS (SELECT *, sinh(atanh(s) - {e!r} * atanh({e!r} * s)) AS t FROM c), a AS (SELECT *, atan2(t, cos(lam)) AS xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) AS eta FROM t)
+SELECT c_custkey, round({g.FALSE_EASTING!r} + {g.K0 * radius!r} * ({x}), 3) AS x, round({g.K0 * radius!r} * ({y}), 3) AS y, CAST(0 AS DOUBLE) AS dlon, CAST(0 AS DOUBLE) AS dlat FROM a"""
+
+
+@query(_krueger())
 def tm_projection(spark, sf_dir):
     t = table(spark, sf_dir, "customer").select("c_custkey", (-75 + F.col("c_custkey") % 300 / 100).alias("lon"), (45 + F.col("c_custkey") % 170 / 100).alias("lat"))
     t = t.withColumn("p", g.to_plane(F.col("lon"), F.col("lat"))).withColumn("b", g.to_geographic(F.col("p.x"), F.col("p.y")))
-    return t.select("c_custkey", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"), F.round(F.col("b.lon") - F.col("lon"), 9).alias("dlon"), F.round(F.col("b.lat") - F.col("lat"), 9).alias("dlat"))
+    return t.select("c_custkey", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"), (F.round(F.col("b.lon") - F.col("lon"), 9) + 0.0).alias("dlon"), (F.round(F.col("b.lat") - F.col("lat"), 9) + 0.0).alias("dlat"))
 
 
 def _horner() -> str:

@@ -70,6 +70,16 @@ def center_features() -> Column:
     return feature_text("Point", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y")), id=F.col("label"), type=F.lit("cluster"), label=F.col("label"))
 
 
+def route_lines(key: str = "trip_id") -> Column:
+    """Features of routes (key, coords)."""
+    return feature_text("LineString", F.col("coords"), id=F.col(key), type=F.lit("ioc"))
+
+
+def way_features() -> Column:
+    """Features of the ways that osm.way_lines gives, their tags as properties."""
+    return feature_text("LineString", F.col("coords"), id=F.col("way_id"), tags=F.col("tags"))
+
+
 def wkt(x: Column, y: Column) -> Column:
     return F.format_string("POINT(%s %s)", x, y)
 

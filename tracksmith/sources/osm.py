@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import geojson
 
 # The tags that are kept.
 TAGS = ("highway", "cycleway", "oneway", "foot", "bicycle", "lanes", "lit", "width", "maxspeed", "name")
@@ -33,3 +34,12 @@ def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     at = ways.select("way_id", F.posexplode("nodes").alias("pos", "node_id")).join(nodes, "node_id")
     lines = at.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("c"))  # a way has 2,000 nodes at most
     return ways.select("way_id", "tags").join(lines, "way_id").select("way_id", "tags", F.transform("c", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("coords"))
+
+
+def export(ways: DataFrame, nodes: DataFrame, path: str) -> None:
+    """Writes the ways as lines: GeoJSON if path ends in .json, else a folder of shapefiles with the highway tag and the name."""
+    lines = way_lines(ways, nodes).where("size(coords) > 1")
+    if path.rstrip("/").endswith(".json"):
+        geojson.write_features(lines, geojson.way_features(), path, crs=None)
+    else:
+        lines.select("way_id", F.col("tags")["highway"].alias("highway"), F.col("tags")["name"].alias("name"), F.array("coords").alias("parts")).write.format("shapefile").mode("overwrite").save(path)

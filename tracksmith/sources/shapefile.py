@@ -178,3 +178,18 @@ def write(path: str, kind: int, rows, fields: list[dbase.Field]) -> None:
     files.write_all(_sibling(path, ".shx"), header(HEADER // 2 + 4 * len(index)) + b"".join(index))
     if fields:
         dbase.write(_sibling(path, ".dbf"), fields, attributes)
+
+
+def read_folder(spark, path: str, kind: str = "shapefile"):
+    """The shapes of all files in a folder, as the writer leaves it, or (kind "dbase") only their attributes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    ending = ".shp" if kind == "shapefile" else ".dbf"
+    found = sorted(str(f.getPath().toString()) for f in listed if f.getPath().getName().endswith(ending))
+    if not found:
+        raise ValueError(f"{path} holds no {ending} file")
+    out = None
+    for one in found:
+        df = spark.read.format(kind).load(one)
+        out = df if out is None else out.unionByName(df)
+    return out
