@@ -330,6 +330,16 @@ def test_pooling_by_pieces(monkeypatch):
     assert np.allclose(whole, np.concatenate([v.mean(0), v.std(0), (v[1:] * v[:-1]).mean(0)]), atol=1e-5)
     monkeypatch.setattr(quality, "PIECE", 7)
     assert np.allclose(quality.pooled(text, index, memo), whole, atol=1e-5) and not quality.pooled(" \n", index, memo).any()
+    slots, sums = quality.slots_of(text, memo), []
+    for piece in (7, 10_000):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        into, uses = np.zeros((quality.SLOTS, quality.DIM)), np.zeros(quality.SLOTS)
+        quality.gather_context(slots, index, into, uses)
+        sums.append(into)
+    assert np.allclose(*sums, atol=1e-4) and uses.sum() == 2000
+    u = index[slots].sum(0).astype(float)
+    want = sum(u[k + d] for k in np.flatnonzero(slots[0] == slots[0, 500]) for d in (-2, -1, 1, 2) if 0 <= k + d < 1000)
+    assert np.allclose(sums[0][slots[0, 500]], want, atol=1e-4)
 
 
 def test_language(spark):
@@ -437,17 +447,3 @@ def test_chat_trees_against_brute_force(spark):
         (c, 10 * t): (None if up is None else 10 * up, thread[c, 10 * t], depth[c, 10 * t], place[c, 10 * t]) for (c, t), up in parents.items()
     }
     assert max(depth.values()) == 24 and all(">" not in x.content for x in out) and all(x.n_linked > 0 for x in out if x.reply_to is not None)
-
-
-def test_pipeline_stages_keep_the_columns(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[1:4]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns, name
-        assert out.count() <= docs.count()
-        if name.startswith("MinHash"):
-            want = near_dedup.near_duplicates(docs).where("kept").select("doc_id")
-            assert {r[0] for r in out.select("doc_id").collect()} == {r[0] for r in want.collect()}

@@ -47,7 +47,7 @@ class _Slots(dict):
         self.first, self.slots = first, slots
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = self.first + crc32(word) % self.slots
         return value
@@ -64,15 +64,18 @@ def slots_of(text: str, memo: dict) -> np.ndarray:
 
 def gather_context(slots: np.ndarray, index: np.ndarray, into: np.ndarray, uses: np.ndarray) -> None:
     """Adds to both slots of each word the index vectors of its neighbours, and counts their uses."""
-    unit = index[slots].sum(0)
-    near = np.zeros_like(unit)
-    for d in range(1, WINDOW + 1):
-        if len(unit) > d:
-            near[d:] += unit[:-d]
-            near[:-d] += unit[d:]
-    for row in slots:
-        np.add.at(into, row, near)
-        np.add.at(uses, row, 1)
+    for at in range(0, slots.shape[1], PIECE):
+        begin, end = max(0, at - WINDOW), at + PIECE + WINDOW  # with the neighbours of the words at the ends
+        unit = index[slots[:, begin:end]].sum(0)
+        near = np.zeros_like(unit)
+        for d in range(1, WINDOW + 1):
+            if len(unit) > d:
+                near[d:] += unit[:-d]
+                near[:-d] += unit[d:]
+        near = near[at - begin : at - begin + PIECE]
+        for row in slots[:, at : at + PIECE]:
+            np.add.at(into, row, near)
+            np.add.at(uses, row, 1)
 
 
 def word_vectors(context: np.ndarray, uses: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -159,9 +162,10 @@ def fit(work: Workspace, docs: DataFrame, labels: DataFrame, *, doc_id: str = "d
     train = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_id").select("_y", "_t")
     train = work.save(train, "training")
     index = index_vectors()
+    shared_index = docs.sparkSession.sparkContext.broadcast(index)  # of fixed size
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, into, uses = {}, np.zeros((SLOTS, DIM)), np.zeros(SLOTS)
+        memo, into, uses, index = {}, np.zeros((SLOTS, DIM)), np.zeros(SLOTS), shared_index.value
         for batch in batches:
             for t in batch.column(0):
                 gather_context(slots_of(t.as_py(), memo), index, into, uses)
@@ -178,9 +182,10 @@ def fit(work: Workspace, docs: DataFrame, labels: DataFrame, *, doc_id: str = "d
         context[sums["slot"].to_numpy()] = sums["v"].combine_chunks().flatten().to_numpy().reshape(-1, DIM)
         uses[sums["slot"].to_numpy()] = sums["uses"].to_numpy()
     vectors = word_vectors(context, uses, index)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = {}
+        memo, vectors = {}, shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -6,7 +6,7 @@ from hashlib import blake2b
 
 import numpy as np
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 SHIFTS = (np.uint64(30), np.uint64(27), np.uint64(31))
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
