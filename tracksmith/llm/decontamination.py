@@ -92,20 +92,27 @@ def item_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     item without an id gives hits but isn't counted. Equal texts get equal results, whatever their ids, and are extended once.
     Empty tables on either side give no hits. Other columns aren't looked at.
     """
-    out = judged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), benchmark, "text", item_id, item_text, span, k)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    body = F.col(text).cast("string")
+    found = hits_by_text(docs.select(body.alias("text")), benchmark, item_id, item_text, span, k)
+    base = docs.select(F.col(doc_id).alias("doc_id"), text_key(body).alias("key"), F.size(words_of(body)).cast("long").alias("n_words"))
+    nothing = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
+    if found is None:
+        out = base.withColumns(nothing)
+    else:
+        out = base.join(found, "key", "left").withColumns({c: F.coalesce(c, x) for c, x in nothing.items()})
+    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", contaminated.alias("contaminated"))
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, span: int, k: int) -> DataFrame:
-    """The columns of docs but for text, with key, n_words, n_hit, n_items, items_sha256, whole (a window of span words occurs) and contaminated."""
+def hits_by_text(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, span: int, k: int) -> DataFrame | None:
+    """docs (text) to (key, n_hit, n_items, items_sha256, whole: a window of span words occurs), a row for each text with hits, to be
+    broadcast if they are few; None if no item has words."""
     work = Workspace(docs.sparkSession, "decontamination")
-    body = F.col(text).cast("string")
+    body = F.col("text")
     windows = work.save(item_windows(benchmark, item_id, item_text, span, k), "windows", narrow=True)
     spans = sorted(r[0] for r in windows.select(F.size("w")).distinct().collect())  # span lengths at most
-    base = docs.select(*[c for c in docs.columns if c != text], text_key(body).alias("key"), F.size(words_of(body)).cast("long").alias("n_words"))
-    nothing = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
     if not spans:
-        return base.withColumns(nothing | {"whole": F.lit(False), "contaminated": F.lit(False)})
+        return None
     prints = work.save(window_prints(windows.select("w").distinct(), spans, k).withColumn("wid", F.xxhash64(F.concat_ws(" ", "w"))), "prints", narrow=True)
 
     def with_all_grams(df: DataFrame) -> DataFrame:
@@ -147,14 +154,12 @@ def judged(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_
     n_hit = hits.groupBy("key").agg(covered.alias("n_hit"), F.max((F.col("e") - F.col("s")) == span).alias("whole"))
     of = windows.select(F.xxhash64(F.concat_ws(" ", "w")).alias("wid"), "item").where("item is not null").distinct()
     items = hits.select("key", "wid").distinct().join(small(of), "wid").select("key", "item").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = n_hit.join(items, "key", "left")
-    own = [c for c in base.columns if c not in ("key", "n_words")]
-    out = base.join(found, "key", "left").select(
-        *own, "key", "n_words", F.coalesce("n_hit", nothing["n_hit"]).alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"), F.coalesce("whole", F.lit(False)).alias("whole"),
+    found = n_hit.join(items, "key", "left").select(
+        "key", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"), "whole",
     )
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    # Rows of one width: where they are few, the documents stay where they are, however many of them share a text.
+    return small_by_bytes(work.save(found, "found", narrow=True), F.lit(120))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
@@ -164,6 +169,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
     their texts: repeated and null ids change nothing. Null and empty texts stay; with an empty benchmark all rows do.
     """
     body = F.col(text).cast("string")
-    found = judged(docs.select(body.alias("text")), benchmark, "text", item_id, item_text, span, k)
-    gone = found.where("whole or contaminated").select(F.col("key").alias("_gone")).distinct()
-    return docs.withColumn("_key", text_key(body)).join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
+    found = hits_by_text(docs.select(body.alias("text")), benchmark, item_id, item_text, span, k)
+    if found is None:
+        return docs
+    told = docs.withColumn("_key", text_key(body)).join(found.select(F.col("key").alias("_hit_key"), F.col("n_hit").alias("_hits"), F.col("whole").alias("_whole")), F.col("_key") == F.col("_hit_key"), "left")
+    # The words are counted for texts with hits alone.
+    goes = F.when(F.col("_hits").isNull(), False).otherwise(F.col("_whole") | (20 * F.col("_hits") >= F.size(words_of(body))))
+    return told.where(~goes).drop("_key", "_hit_key", "_hits", "_whole")
