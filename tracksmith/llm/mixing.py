@@ -26,7 +26,8 @@ def source_targets(totals: DataFrame, weights: Sequence[float], share: float, ma
     """(src, source_size) to (src, source_size, target). Sources by code point, null last, take the weights in turn.
 
     The budget is share times all sizes. A source's target is its weight's part, at most max_repeat times its size; what is cut
-    off goes to the others by weight, until none is above. One row a source: the only windows here go over that small table.
+    off goes to the others by weight, until none is above. One row a source: the only windows here go over that small table, in one
+    task, so sources may be millions, but not as many as documents.
     """
     by_name, by_cap = Window.orderBy("src"), Window.orderBy("cap_rate", "src")
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)

@@ -261,6 +261,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = work.save(named.select("set_key", "first_id", F.coalesce("root", "set_key").alias("root")), "named", narrow=True)
     joint = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = work.save(named.join(joint, "root").select("set_key", "component_id"), "ids", narrow=True)
+    work.drop(classes, links, families, confirmed, final, named)  # the signatures and the ids are read by the result
     out = rows.select("doc_id", "set_key", "n").join(ids, "set_key", "left")
     comp = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"))

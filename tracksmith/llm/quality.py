@@ -216,19 +216,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     rows = rows.select(*own, "_qt") if keep else rows.select(F.col(doc_id), held_out(F.col(doc_id)).alias("held_out"), "_qt")
     shared = docs.sparkSession.sparkContext.broadcast((vectors, net))  # of fixed size
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         table, model = shared.value
-        memo = {}
         if isinstance(model, float):
-            return pd.Series([model] * len(texts), dtype="float64")
-        out = np.empty(len(texts))
+            return pa.array([model] * len(texts), pa.float64())
+        memo, out = {}, np.empty(len(texts))
         for k in range(0, len(texts), 500):
-            x = np.array([pooled(t, table, memo) for t in texts.iloc[k : k + 500]], np.float64)
+            x = np.array([pooled(t.as_py(), table, memo) for t in texts.slice(k, 500)], np.float64)
             out[k : k + 500] = model.score(x)
-        return pd.Series(out)
+        return pa.array(out)
 
     out = rows.withColumn("score", score("_qt")).drop("_qt")
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
