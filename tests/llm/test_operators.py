@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import re
 from collections import Counter
 
@@ -230,6 +231,16 @@ def test_warc_round_trip(spark):
     assert warc.roundtrip(df.limit(0)).count() == 0
 
 
+def test_archives_of_repeated_rows_and_ids(spark):
+    pages = [(1, "u", "same"), (1, "u", "same"), (2, "v", "same"), (2, "v", "other"), (None, "w", "same"), (None, "w", "same"), (3, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("rows", "size", "n", "key", "digest")})
+    got = warc.roundtrip(df).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes) for r in got) == sorted((p or 0, len(h or "")) for p, _, h in pages)
+    for r in got:
+        main = r.payload_bytes != 4 or r.page_id == 2  # of equal payloads, the rows with the largest id
+        assert (r.record_type, r.refers_to) == (("response", None) if main else ("revisit", 2))
+
+
 def test_damaged_archives_are_refused():
     out = io.BytesIO()
     w = warc.Writer(out)
@@ -259,6 +270,50 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint_documents(empty).count() == 0
 
 
+def test_fingerprints_of_a_table_against_brute_force(spark):
+    # Bins, densification and packing once more, one value at a time; likenesses against the exact shares of common shingles.
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [(r.doc_id, r.text or "") for r in docs.orderBy(F.desc("doc_id")).collect()]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(docs).collect()}
+    bins, bits, draws = fingerprints.BINS, fingerprints.BITS, fingerprints._draws(0, 4000, fingerprints.BINS)
+
+    def fingerprint(text):
+        low = {}
+        for h in map(int, shingles.shingle_hashes(text, fingerprints.SHINGLE, {})):
+            b = (h >> 48) * bins >> 16
+            low[b] = min(h, low.get(b, h))
+        if not low:
+            return "", 0
+        digits, empty_bins = "", 0
+        for b in range(bins):
+            at = b
+            if b not in low:  # the first filled bin of this bin's own sequence
+                empty_bins += 1
+                at = next(int(row[b]) for row in draws if int(row[b]) in low)
+            digits += format(low[at] % (1 << bits), f"0{bits}b")
+        return int(digits, 2).to_bytes(bins * bits // 8, "big").hex(), empty_bins
+
+    def share(a, b):
+        x, y = (set(shingles.shingle_hashes(t, fingerprints.SHINGLE, {}).tolist()) for t in (a, b))
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    off, densified = [], 0
+    for (doc_id, text), (_, after) in zip(texts, texts[1:] + texts[:1], strict=True):
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        r = got[doc_id]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        (own, empty_bins), (changed, _), (nxt, _) = map(fingerprint, (text, edited, after))
+        densified += empty_bins > 0
+        assert (r.fingerprint, r.edited_fingerprint) == (own, changed)
+        for near, a, b, t in ((r.near_edited, own, changed, edited), (r.near_next, own, nxt, after)):
+            if a and b:
+                x, y = (format(int(v, 16), f"0{bins * bits}b") for v in (a, b))
+                same = sum(x[k : k + bits] == y[k : k + bits] for k in range(0, bins * bits, bits)) / bins
+                assert math.isclose(near, max(0.0, (same - 2.0**-bits) / (1 - 2.0**-bits)), abs_tol=1e-9)
+            off.append(abs(near - share(text, t)))
+    assert len(got) == len(texts) and densified > 10 and np.mean(off) < 0.04 and max(off) < 0.25
+
+
 def test_likeness_is_close_to_the_share_of_common_shingles():
     s, errors = fingerprints.Sketcher(), []
     for _ in range(30):
