@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -502,3 +503,16 @@ def test_chat_trees_against_brute_force(spark):
         (c, 10 * t): (None if up is None else 10 * up, thread[c, 10 * t], depth[c, 10 * t], place[c, 10 * t]) for (c, t), up in parents.items()
     }
     assert max(depth.values()) == 24 and all(">" not in x.content for x in out) and all(x.n_linked > 0 for x in out if x.reply_to is not None)
+
+
+def test_word_vectors_take_little_of_the_driver():
+    r = np.random.default_rng(1)
+    context, uses, index = r.normal(size=(quality.SLOTS, quality.DIM)), r.integers(0, 9, quality.SLOTS).astype(float), quality.index_vectors()
+    tracemalloc.start()
+    got = quality.word_vectors(context, uses, index)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * got.nbytes  # the result and a piece; in one go it would be seven times the result
+    own = context - uses[:, None] * context[: quality.WORD_SLOTS].sum(0) / uses[: quality.WORD_SLOTS].sum()
+    want = index + own / np.linalg.norm(own, axis=1, keepdims=True) * np.sqrt(uses / (uses + quality.HALF_USES))[:, None]
+    assert got.dtype == np.float32 and np.allclose(got, want, atol=1e-6)

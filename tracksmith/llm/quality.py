@@ -82,9 +82,12 @@ def word_vectors(context: np.ndarray, uses: np.ndarray, index: np.ndarray) -> np
     """Index vectors plus context vectors: what a slot gathered less what as many average words would have, scaled to a length that
     grows to 1 with its uses."""
     average = context[:WORD_SLOTS].sum(0) / max(1.0, uses[:WORD_SLOTS].sum())
-    own = context - uses[:, None] * average
-    length = np.linalg.norm(own, axis=1, keepdims=True)
-    return (index + own / np.maximum(length, 1e-9) * np.sqrt(uses / (uses + HALF_USES))[:, None]).astype(np.float32)
+    out = np.empty_like(index)
+    for at in range(0, SLOTS, 2_048):  # in pieces, for the driver's memory
+        own, n = context[at : at + 2_048] - uses[at : at + 2_048, None] * average, uses[at : at + 2_048, None]
+        length = np.linalg.norm(own, axis=1, keepdims=True)
+        out[at : at + 2_048] = index[at : at + 2_048] + own / np.maximum(length, 1e-9) * np.sqrt(n / (n + HALF_USES))
+    return out
 
 
 def pooled(text: str, vectors: np.ndarray, memo: dict) -> np.ndarray:
@@ -182,6 +185,8 @@ def fit(work: Workspace, docs: DataFrame, labels: DataFrame, *, doc_id: str = "d
         context[sums["slot"].to_numpy()] = sums["v"].combine_chunks().flatten().to_numpy().reshape(-1, DIM)
         uses[sums["slot"].to_numpy()] = sums["uses"].to_numpy()
     vectors = word_vectors(context, uses, index)
+    shared_index.destroy()
+    del sums, context, index
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +198,10 @@ def fit(work: Workspace, docs: DataFrame, labels: DataFrame, *, doc_id: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], names=["y", "x"])
 
     got = train.mapInArrow(features, "y double, x array<float>").toArrow()
+    shared.destroy()
     if not got.num_rows:
         return vectors, 0.5
-    x, y = np.array(got["x"].to_pylist(), np.float32).reshape(got.num_rows, -1), got["y"].to_numpy()
+    x, y = got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1), got["y"].to_numpy()
     if y.min() == y.max():
         return vectors, float(y.mean())
     order = np.lexsort(np.vstack([x.T[:4], y]))  # the fit doesn't depend on the order of rows
