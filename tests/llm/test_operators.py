@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracksmith.llm import chat, decontamination, fingerprints, language, line_dedup, mixing, near_dedup, quality, secret_scan, shingles, warc
+from tracksmith.llm import chat, common, decontamination, fingerprints, language, line_dedup, mixing, near_dedup, quality, secret_scan, shingles, warc
 
 rng = np.random.default_rng(7)
 VOCABULARY = ["".join(rng.choice(list("abcdeéñ"), 4)) for _ in range(300)]
@@ -75,6 +75,27 @@ def test_blocks_of_long_lists_find_the_same(docs, monkeypatch):
     assert {tuple(r) for r in near_dedup.near_duplicates(docs).collect()} == want
 
 
+def test_classes_are_joined_by_one_long(spark, monkeypatch):
+    saved, save = {}, common.Workspace.save
+    monkeypatch.setattr(common.Workspace, "save", lambda self, df, name, narrow=False: (saved.setdefault(name, []).append(dict(df.dtypes)), save(self, df, name, narrow))[1])
+    # The smallest id shares its key in the join of texts with null ids.
+    rows = [(-(2**63), BASE), (None, edited(BASE, 1)), (None, prose(50)), (5, edited(BASE, 1)), (7, prose(60))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(-(2**63), -(2**63), True), (0, -(2**63), False), (0, 0, True), (5, -(2**63), False), (7, 7, True)]
+    assert all(t[c] == "bigint" for name, keys in (("links", "uv"), ("edges", "uv"), ("labels", ("node", "root"))) for t in saved[name] for c in keys)
+    # Whether a round moved a label is told by the labels, without another join.
+    assert all(t.get("moved") == "boolean" for t in saved["labels"])
+
+
+def test_components_of_chains_and_stars(spark):
+    r = np.random.default_rng(9)
+    chain, star, tree = r.permutation(90), r.permutation(60) + 100, r.permutation(80) + 200
+    edges = [*zip(chain, chain[1:]), *[(star[0], x) for x in star[1:]], *[(tree[k], tree[r.integers(k)]) for k in range(1, 80)]]
+    edges = [(int(u), int(v)) for u, v in edges]
+    got = common.components(common.Workspace(spark, "test"), spark.createDataFrame(edges, "u long, v long"))
+    assert {x.node: x.root for x in got.collect()} == {n: 0 if n < 100 else 100 if n < 200 else 200 for e in edges for n in e}
+
+
 def test_item_hits(spark, docs, empty):
     items = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[:20])), (3, "Hello"), (4, None), (5, "!!"), (6, "two words"), (10, prose(30))]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -133,7 +133,7 @@ def by_blocks(df: DataFrame, blocks, member, *keys) -> DataFrame:
 
 
 def describe(docs: DataFrame, doc_id: str, text: str, shingle: int, coordinates: int) -> DataFrame:
-    """(doc_id, set_key, node, n, sig) of every row; set_key, node and sig are null for an empty set."""
+    """(doc_id, set_key, n, sig) of every row; set_key and sig are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations(coordinates)
@@ -141,20 +141,19 @@ def describe(docs: DataFrame, doc_id: str, text: str, shingle: int, coordinates:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                keys, nodes, ns, sigs = [], [], [], []
+                keys, ns, sigs = [], [], []
                 for t in part.column(1):
                     s = shingle_hashes(t.as_py() or "", shingle, memo)
                     ns.append(len(s))
                     if len(s):
-                        keys.append(k := set_key(s))
-                        nodes.append(int.from_bytes(k[:8], "little", signed=True))
+                        keys.append(set_key(s))
                         sigs.append(signature(s, a, b).view(np.int32))
                     else:
-                        keys.append(None), nodes.append(None), sigs.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "set_key", "node", "n", "sig"])
+                        keys.append(None), sigs.append(None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "set_key", "n", "sig"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, set_key binary, node long, n long, sig array<int>")
+    return rows.mapInArrow(run, "doc_id long, set_key binary, n long, sig array<int>")
 
 
 def candidate_links(work: Workspace, classes: DataFrame, need: int, ratio: float, coordinates: int) -> DataFrame:
@@ -185,12 +184,16 @@ def candidate_links(work: Workspace, classes: DataFrame, need: int, ratio: float
 
 
 def confirmed_links(work: Workspace, docs: DataFrame, doc_id: str, text: str, members: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
-    """members (set_key, root, first_id, n) to (u, v): a spanning forest of the set_keys whose sets are similar enough."""
+    """members (node, set_key, root, first_id, n) to (u, v): a spanning forest of the nodes whose sets are similar enough."""
     sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     members = work.save(members.join(sizes.select("root", blocks.alias("blocks")), "root"), "members", narrow=True)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    found = rows.join(small(members), F.col("id").eqNullSafe(F.col("first_id"))).select("root", "blocks", "set_key", "text")
+    # One long as the key, as a table of other keys takes 64 MB of the driver at once. Null ids share theirs with the smallest one;
+    # the sets' keys tell them apart below.
+    no_id = F.lit(-(1 << 63)).cast("long")
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), no_id).alias("id"), F.col(text).cast("string").alias("text"))
+    members = members.select(F.coalesce("first_id", no_id).alias("id"), "root", "blocks", "node", "set_key")
+    found = rows.join(small(members), "id").select("root", "blocks", "node", "set_key", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
@@ -200,22 +203,22 @@ def confirmed_links(work: Workspace, docs: DataFrame, doc_id: str, text: str, me
                 for r in batch.slice(at, 200).to_pylist():
                     s = shingle_hashes(r["text"] or "", shingle, memo)
                     if len(s) and set_key(s) == r["set_key"]:  # another text may carry the same id
-                        out.append((r["root"], r["blocks"], r["set_key"], s.tobytes()))
+                        out.append((r["root"], r["blocks"], r["node"], s.tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["root", "blocks", "set_key", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["root", "blocks", "node", "shingles"])
 
-    listed = by_blocks(found.mapInArrow(sets, "root long, blocks int, set_key binary, shingles binary"), F.col("blocks"), F.col("set_key"), "root")
+    listed = by_blocks(found.mapInArrow(sets, "root long, blocks int, node long, shingles binary"), F.col("blocks"), F.col("node"), "root")
     parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
-    listed = listed.select("root", "i", "j", "set_key", "shingles").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    listed = listed.select("root", "i", "j", "node", "shingles").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
     num, den = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 3):
-            by_key = dict(zip(g.column("set_key").to_pylist(), g.column("shingles").to_pylist(), strict=True))
-            if len(by_key) < 2:
+            by_node = dict(zip(g.column("node").to_pylist(), g.column("shingles").to_pylist(), strict=True))
+            if len(by_node) < 2:
                 continue
-            ids = list(by_key)
-            each = [np.frombuffer(x, np.uint64) for x in by_key.values()]
+            ids = list(by_node)
+            each = [np.frombuffer(x, np.uint64) for x in by_node.values()]
             n = np.array([len(x) for x in each])
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
             values, at = np.unique(np.concatenate(each), return_inverse=True)
@@ -232,9 +235,9 @@ def confirmed_links(work: Workspace, docs: DataFrame, doc_id: str, text: str, me
             link_group(forest, ids, near)
             u = [x for x in forest if forest.find(x) != x]
             if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array([forest.find(x) for x in u], pa.binary())], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([forest.find(x) for x in u], pa.int64())], names=["u", "v"])
 
-    return listed.mapInArrow(run, "u binary, v binary")
+    return listed.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, coordinates: int = COORDINATES) -> DataFrame:
@@ -249,16 +252,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     exact = Fraction(str(similarity))
     need = matches_needed(similarity, coordinates)
     rows = work.save(describe(docs, doc_id, text, shingle, coordinates), "signatures")
-    classes = work.save(
-        rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes"
-    )
+    classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = work.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # from here on a class is one long
     links = work.save(candidate_links(work, classes, need, similarity, coordinates), "candidates")
     families = components(work, links)
-    members = families.join(classes.select("set_key", "node", "first_id", "n"), "node").select("set_key", "root", "first_id", "n")
+    members = families.select("node", "root").join(classes.select("set_key", "node", "first_id", "n"), "node").select("node", "set_key", "root", "first_id", "n")
     confirmed = work.save(confirmed_links(work, docs, doc_id, text, members, shingle, exact), "links")
     final = components(work, confirmed)
-    named = classes.select("set_key", "first_id").join(final.select(F.col("node").alias("set_key"), "root"), "set_key", "left")
-    named = work.save(named.select("set_key", "first_id", F.coalesce("root", "set_key").alias("root")), "named", narrow=True)
+    named = classes.select("node", "set_key", "first_id").join(final.select("node", "root"), "node", "left")
+    named = work.save(named.select("set_key", "first_id", F.coalesce("root", "node").alias("root")), "named", narrow=True)
     joint = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = work.save(named.join(joint, "root").select("set_key", "component_id"), "ids", narrow=True)
     work.drop(classes, links, families, confirmed, final, named)  # the signatures and the ids are read by the result
