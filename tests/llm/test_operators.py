@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import re
+import time
 import tracemalloc
 from collections import Counter
 
@@ -96,6 +97,22 @@ def test_components_of_chains_and_stars(spark):
     assert {x.node: x.root for x in got.collect()} == {n: 0 if n < 100 else 100 if n < 200 else 200 for e in edges for n in e}
 
 
+def test_saved_tables_leave_no_shuffle_files(spark):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {blocks.apply(k).toString() for k in range(blocks.size()) if blocks.apply(k).toString().startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(common.CLEANUP)
+    df = spark.range(10_000).repartition(5, "id")
+    saved = common.Workspace(spark, "test").save(df, "dealt")
+    for _ in range(50):  # they go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common.CLEANUP) == setting
+    assert saved.count() == df.count() == 10_000
+
+
 def test_item_hits(spark, docs, empty):
     items = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[:20])), (3, "Hello"), (4, None), (5, "!!"), (6, "two words"), (10, prose(30))]
     bench = spark.createDataFrame(items, "item_id long, text string")
