@@ -196,6 +196,41 @@ def test_lines_with_a_common_word_and_long_ones(spark):
     assert got == want and want != dict(enumerate(texts))
 
 
+def test_line_dedup_counts_few_texts_for_the_order(spark):
+    # The order of words decides the work only, so a part of the texts is counted for it; each has a word of its own here.
+    docs = spark.createDataFrame([(f"word{k}",) for k in range(1600)], "text string")
+    ranks = line_dedup.token_ranks(common.Workspace(spark, "test"), docs, F.col("text"))
+    counted = sum(r > 0 for r in spark.range(1).select(ranks.alias("r")).first().r)
+    assert 0 < counted < 1600 / line_dedup.COUNTED * 2
+
+
+def test_parities_of_sets(spark):
+    # No more bits differ than words do, also of a short set and a long one, and far more of sets with nothing in common.
+    r = np.random.default_rng(5)
+    new = lambda n: [int(x) for x in r.integers(-(2**63), 2**63 - 1, n)]
+    pairs = []
+    for n in (1, 5, 40, 60, 64, 65, 70, 150):
+        for e in (0, 1, 3, n // 9, n):
+            a = new(n)
+            pairs.append((a, a[e // 2 :] + new(e), a[e:] + new(e)))
+    df = spark.createDataFrame([(k, x) for k, p in enumerate(pairs) for x in p], "k long, set array<long>")
+    got = df.select("k", "set", line_dedup.parities("set", False).alias("all"), line_dedup.parities("set", True).alias("h")).collect()
+    for x in got:
+        for y in (y for y in got if y.k == x.k):
+            bits = lambda v: (v & (1 << 64) - 1).bit_count()
+            apart, f, h = len({*x.set} ^ {*y.set}), bits(x.all ^ x.h ^ y.all ^ y.h), bits(x.h ^ y.h)
+            assert bits(x.all ^ y.all) <= f + h <= apart
+            assert apart < 2 * 40 or f + h > 25
+
+
+def test_line_dedup_of_repeated_rows_with_a_partner(spark):
+    words = [f"w{k}" for k in range(80)]
+    texts = [" ".join(words), " ".join([*words[:40], "other", *words[41:]]), " ".join(words[:64]), "alone"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts) for _ in range(3)], "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(k, n) for k, n in enumerate((0, 1, 1, 0)) for _ in range(3)]
+
+
 def test_secret_scan(docs, empty):
     rules = [
         ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
