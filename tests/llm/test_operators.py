@@ -88,6 +88,31 @@ def test_classes_are_joined_by_one_long(spark, monkeypatch):
     assert all(t.get("moved") == "boolean" for t in saved["labels"])
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """(name, plan) of the tables saved in a test, with no table of more than five rows taken for small."""
+    out, save, small = [], common.Workspace.save, common.small
+    monkeypatch.setattr(common.Workspace, "save", lambda self, df, name, narrow=False: (out.append((name, df._jdf.queryExecution().executedPlan().toString())), save(self, df, name, narrow))[1])
+    for module in (common, near_dedup, line_dedup):
+        monkeypatch.setattr(module, "small", lambda df, rows=0: small(df, 5))
+    return out
+
+
+def test_signatures_that_look_small_are_not_broadcast(spark, plans):
+    # Spark takes a few hundred classes for a small table, whatever their signatures and the rows exploded from them take.
+    r, work = np.random.default_rng(4), common.Workspace(spark, "test")
+    rows = [(k, 100, r.integers(0, 5, 40).tolist()) for k in range(300)]
+    classes = work.save(spark.createDataFrame(rows, "node long, n long, sig array<int>"), "classes")
+    common.components(work, work.save(near_dedup.candidate_links(work, classes, 12, 0.8, 40), "candidates"))
+    assert {"candidates", "labels"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if name in ("candidates", "labels") and "BroadcastHashJoin" in plan]
+
+
+def test_postings_that_look_small_are_not_broadcast(spark, plans):
+    line_dedup.removed_lines(spark.createDataFrame([(k, f"{prose(9)}\n{BASE}") for k in range(20)], "doc_id long, text string"))
+    assert not [name for name, plan in plans if name == "may" and "BroadcastHashJoin" in plan]
+
+
 def test_components_of_chains_and_stars(spark):
     r = np.random.default_rng(9)
     chain, star, tree = r.permutation(90), r.permutation(60) + 100, r.permutation(80) + 200

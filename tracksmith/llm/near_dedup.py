@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, small
+from .common import Workspace, components, shuffled, small
 from .shingles import shingle_hashes
 
 COORDINATES, MISS = 40, 1e-7
@@ -160,10 +160,10 @@ def candidate_links(work: Workspace, classes: DataFrame, need: int, ratio: float
     """(u, v): a spanning forest of the pairs of classes that agree in need coordinates or more."""
     value = (F.col("c").cast("long") * F.lit(1 << 32)) + (F.col("v").cast("long") + F.lit(1 << 31))
     posts = classes.select("node", F.posexplode("sig").alias("c", "v")).select("node", value.alias("cv"))
-    shared = posts.groupBy("cv").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    met = posts.join(shared, "cv").groupBy("node").agg(F.collect_list(F.struct("cnt", "cv")).alias("met")).where(F.size("met") >= need)
+    shared = work.save(posts.groupBy("cv").agg(F.count("*").alias("cnt")).where("cnt > 1"), "shared", narrow=True)
+    met = posts.join(small(shared), "cv").groupBy("node").agg(F.collect_list(F.struct("cnt", "cv")).alias("met")).where(F.size("met") >= need)
     met = met.select("node", F.explode(F.slice(F.array_sort("met"), F.lit(1), F.size("met") - need + 1)).alias("p")).select("node", F.col("p.cv").alias("cv"), F.col("p.cnt").alias("cnt"))
-    met = met.join(classes.select("node", "n", "sig"), "node")
+    met = met.join(shuffled(classes.select("node", "n", "sig")), "node")
     listed = by_blocks(met, F.ceil(F.col("cnt") / BLOCK_MEMBERS).cast("int"), F.col("node"), "cv").select("cv", "i", "j", "node", "n", "sig")
     parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
     listed = listed.repartition(parts, "cv", "i", "j").sortWithinPartitions("cv", "i", "j")
@@ -256,15 +256,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = work.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # from here on a class is one long
     links = work.save(candidate_links(work, classes, need, similarity, coordinates), "candidates")
     families = components(work, links)
-    members = families.select("node", "root").join(classes.select("set_key", "node", "first_id", "n"), "node").select("node", "set_key", "root", "first_id", "n")
+    members = small(families.select("node", "root")).join(classes.select("set_key", "node", "first_id", "n"), "node").select("node", "set_key", "root", "first_id", "n")
     confirmed = work.save(confirmed_links(work, docs, doc_id, text, members, shingle, exact), "links")
     final = components(work, confirmed)
-    named = classes.select("node", "set_key", "first_id").join(final.select("node", "root"), "node", "left")
+    named = classes.select("node", "set_key", "first_id").join(small(final.select("node", "root")), "node", "left")
     named = work.save(named.select("set_key", "first_id", F.coalesce("root", "node").alias("root")), "named", narrow=True)
     joint = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = work.save(named.join(joint, "root").select("set_key", "component_id"), "ids", narrow=True)
+    ids = work.save(named.join(shuffled(joint), "root").select("set_key", "component_id"), "ids", narrow=True)
     work.drop(classes, links, families, confirmed, final, named)  # the signatures and the ids are read by the result
-    out = rows.select("doc_id", "set_key", "n").join(ids, "set_key", "left")
+    out = rows.select("doc_id", "set_key", "n").join(small(ids), "set_key", "left")
     comp = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
