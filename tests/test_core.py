@@ -206,3 +206,27 @@ def test_entry_runs(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_turns_take_zeros_with_their_sign(spark):
+    ways = [(a, b, c, d) for a in (0.0, -0.0, 2.0, -2.0) for b in (0.0, -0.0, 3.0) for c in (0.0, -0.0, 1.0, -1.0) for d in (0.0, -0.0, -5.0)]
+    got = spark.createDataFrame(ways, "a double, b double, c double, d double").select("a", "b", "c", "d", g.turn_angle(*map(F.col, "abcd")).alias("t")).collect()
+    assert all(r.t == pytest.approx(math.degrees(math.atan2(r.a * r.d - r.b * r.c, r.a * r.c + r.b * r.d))) for r in got)
+
+
+def test_neighbours_of_a_crowded_place_are_few(spark):
+    saved, save = {}, tables.saver(spark, "t")
+    left = spark.range(200).select("id", (F.col("id") % 3).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    right = spark.range(300).select(F.col("id").alias("r"), (F.col("id") % 2).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    got = spatial.nearest_in_plane(left, right, "id", "r", 2, lambda df, name: saved.setdefault(name, save(df, name))).collect()
+    assert {(r.id, r.r, r.distance, r["rank"]) for r in got} == {(i, [(0, 2), (1, 3), (1, 3)][i % 3][n], float(i % 3 == 2), n + 1) for i in range(200) for n in (0, 1)}
+    assert len(got) == 400 and all(df.count() <= 12 for name, df in saved.items() if name != "plane-points")
+
+
+def test_box_join_deals_out_a_crowded_cell(spark, monkeypatch):
+    box = lambda df, p: df.select(F.col("id").alias(p), *[F.lit(v).alias(f"{p}{k}") for k, v in enumerate((1.0, 1.0, 9.0, 9.0))])
+    a, b = box(spark.range(400), "a"), box(spark.range(50), "b")
+    monkeypatch.setattr(spatial, "GROUP_PAIRS", 1000)
+    got = spatial.box_join(a, b, ("a0", "a1", "a2", "a3"), ("b0", "b1", "b2", "b3"), 100.0, ("a", "b"))
+    assert got.select("a", "b").distinct().count() == got.count() == 400 * 50
+    assert max(r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 400 * 50 / 4
