@@ -230,3 +230,33 @@ def test_box_join_deals_out_a_crowded_cell(spark, monkeypatch):
     got = spatial.box_join(a, b, ("a0", "a1", "a2", "a3"), ("b0", "b1", "b2", "b3"), 100.0, ("a", "b"))
     assert got.select("a", "b").distinct().count() == got.count() == 400 * 50
     assert max(r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 400 * 50 / 4
+
+
+def test_trips_smoothed_together_are_as_one_by_one():
+    r, rides = np.random.default_rng(1), []
+    for k in range(60):  # moving and standing ones, gaps, unknown speeds, single rows
+        n = int(r.integers(1, 40))
+        at = np.arange(n)[:, None] * r.uniform(0, 6, 2) * (k % 3 > 0) + r.normal(0, 1, (n, 2))
+        rows = np.column_stack([at, np.where(r.random(n) < 0.2, -1.0, r.uniform(0, 5, n)), r.uniform(1, 4, (n, 2))])
+        rows[r.random(n) < 0.15, 0] = np.nan
+        rides.append(rows)
+    rides[7][:, 0], rides[9][len(rides[9]) // 2 :, 0] = np.nan, 1e5  # nothing seen, a jump
+    rides[10] = np.vstack([np.ones((2, 5)), np.full((50, 5), np.nan), np.ones((2, 5))])  # too vague
+    x, p, first, length = smoothing.smooth_all(np.vstack(rides), np.array([len(t) for t in rides]))
+    for k, rows in enumerate(rides):
+        states = smoothing.forward(rows)
+        states = smoothing.backward(states) if states else None
+        states = smoothing.trim(states)[0] if states else []
+        assert length[k] == (len(states) if len(states) >= 2 else 0)
+        for j in range(length[k]):
+            assert np.allclose(states[j].x, x[first[k] + j], atol=1e-9) and np.allclose(states[j].p, p[first[k] + j], atol=1e-9)
+
+
+def test_copies_of_a_place_are_its_weight():
+    points, times = np.array([[0.0, 0.0], [40.0, 0.0], [90.0, 0.0], [900.0, 5.0]]), [4, 1, 9, 2]
+    copies = np.repeat(points, times, 0)
+    want = {tuple(copies[k]) for k in smoothing.affinity_propagation(copies)}
+    label = smoothing.affinity_propagation(points, weights=times)
+    assert {tuple(points[k]) for k in label} == want and label[0] == label[1] == label[2] == 2
+    # Many at one place are worth an exemplar of their own.
+    assert smoothing.affinity_propagation(points, weights=[900, 1, 900, 1])[0] == 0
