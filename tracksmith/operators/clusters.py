@@ -20,10 +20,12 @@ def places_of(stops: DataFrame, save, preference: float = PREFERENCE) -> DataFra
     """(label, cx, cy): the exemplars of stops (px, py) by affinity propagation.
 
     A point farther from an exemplar than the root of the preference is better off as its own, so stops in cells of that size that
-    don't touch share no exemplar: message passing runs for each group of touching cells by itself, in memory of its square.
+    don't touch share no exemplar: message passing runs for each group of touching cells by itself, in memory of the square of its
+    places. Stops at one place are one of their weight: copies would share its exemplar at no cost.
     """
     size = math.sqrt(-preference)
-    at = save(stops.select(F.floor(F.col("px") / size).alias("gx"), F.floor(F.col("py") / size).alias("gy"), "px", "py"), "stops")
+    at = stops.groupBy("px", "py").agg(F.count("*").alias("weight"))
+    at = save(at.select(F.floor(F.col("px") / size).alias("gx"), F.floor(F.col("py") / size).alias("gy"), "px", "py", "weight"), "stops")
     cell = F.struct("gx", "gy")
     cells = at.select(cell.alias("u")).distinct()
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
@@ -31,12 +33,13 @@ def places_of(stops: DataFrame, save, preference: float = PREFERENCE) -> DataFra
     roots = groups_of(near.join(cells.withColumnRenamed("u", "v"), "v"), save)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = pdf.sort_values(["px", "py"])[["px", "py"]].to_numpy()
-        best = affinity_propagation(points, preference)
+        pdf = pdf.sort_values(["px", "py"])
+        points = pdf[["px", "py"]].to_numpy()
+        best = affinity_propagation(points, preference, weights=pdf.weight.to_numpy())
         g = pdf.root.iloc[0]
         return pd.DataFrame([(f"{g['gx']}:{g['gy']}:{k}", *points[e]) for k, e in enumerate(sorted(set(best)))], columns=["label", "cx", "cy"])
 
-    grouped = at.withColumn("node", cell).join(roots, "node").select("root", "px", "py")
+    grouped = at.withColumn("node", cell).join(roots, "node").select("root", "px", "py", "weight")
     return grouped.groupBy("root").applyInPandas(run, "label string, cx double, cy double")
 
 
